@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skysift.llm import pieces, token_counts
+from skysift.llm import decontaminate, pieces, pii, token_counts, warc
 from skysift.llm._common import table
 
 
@@ -26,8 +26,23 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(spark, table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(spark, table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op4_token_counts": op4_token_counts,
+    "op7_pii": op7_pii,
     "op8_sentencepiece": op8_sentencepiece,
+    "op10_warc": op10_warc,
 }
 SQL: dict[str, str] = {}
