@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skysift.llm import decontaminate, pieces, pii, token_counts, warc
+from skysift.llm import decontaminate, minhash, pieces, pii, token_counts, toxicity, warc
 from skysift.llm._common import table
 
 
@@ -30,6 +30,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_copies(spark, table(spark, sf_dir, "documents"), percent=80, shingle=2)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(spark, table(spark, sf_dir, "documents"))
 
@@ -40,7 +48,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
+    "op3_near_copies": op3_near_copies,
     "op4_token_counts": op4_token_counts,
+    "op5_toxicity": op5_toxicity,
     "op7_pii": op7_pii,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_warc": op10_warc,
