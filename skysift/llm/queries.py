@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skysift.llm import decontaminate, minhash, pieces, pii, suffix_dedup, token_counts, toxicity, warc
+from skysift.llm import decontaminate, minhash, nn_descent, pieces, pii, suffix_dedup, token_counts, toxicity, warc
 from skysift.llm._common import table
 
 
@@ -46,6 +46,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op7_pii": op7_pii,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_near_vectors": op9_near_vectors,
     "op10_warc": op10_warc,
 }
 SQL: dict[str, str] = {}
