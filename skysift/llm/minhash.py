@@ -271,3 +271,13 @@ def near_copies(spark: SparkSession, documents: DataFrame, percent: int = 80, sh
     out = rows.select("k", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(of_class, F.col("sid") == F.col("csid"), "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("k"))
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("k").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents with one of each group of near copies, that of the smallest key; all columns stay.
+
+    Of wholly equal (key, text) rows one stays. Rows with a null key can't be told apart and all stay.
+    """
+    kept = near_copies(spark, documents.where(F.col(key).isNotNull()), key=key, text=text, **options).where("kept").select(F.col(key).alias("__kept")).distinct()
+    named = documents.join(kept, F.col(key) == F.col("__kept"), "left_semi").dropDuplicates([key, text])
+    return named.union(documents.where(F.col(key).isNull())).select(documents.columns)

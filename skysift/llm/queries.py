@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skysift.llm import decontaminate, minhash, nn_descent, pieces, pii, suffix_dedup, token_counts, toxicity, warc
+from skysift.llm import decontaminate, minhash, nn_descent, pieces, pii, secrets, suffix_dedup, token_counts, toxicity, warc
 from skysift.llm._common import table
 
 
@@ -42,6 +42,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(spark, table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(spark, table(spark, sf_dir, "documents"))
 
@@ -60,9 +70,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_copies": op3_near_copies,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
+    "op6_secrets": op6_secrets,
     "op7_pii": op7_pii,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_near_vectors": op9_near_vectors,
     "op10_warc": op10_warc,
+    "pipeline": pipeline,
 }
 SQL: dict[str, str] = {}
