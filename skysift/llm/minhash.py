@@ -248,8 +248,9 @@ def near_copies(spark: SparkSession, documents: DataFrame, percent: int = 80, sh
         people = scratch.write(people.select("sid", "family", "label", "n", "items"), "people")
         sizes = people.groupBy("family", "label").agg(F.count("*").alias("c"), F.sum("n").alias("z"))
         largest = sizes.groupBy("family").agg(F.max_by("label", F.struct("c", "label")).alias("major"))
-        parts = F.greatest(F.ceil(F.sum("z") / BLOCK_ITEMS), F.ceil(F.sum("c") / BLOCK_MEMBERS)).cast("int")
-        count = sizes.join(largest, "family").groupBy("family").pivot(F.expr("CASE WHEN label = major THEN 'm' ELSE 'q' END"), ["m", "q"]).agg(parts).select("family", F.col("m").alias("nm"), F.coalesce("q", F.lit(0)).alias("nq"))
+        parts = lambda mine: F.greatest(F.ceil(F.sum(F.when(mine, F.col("z"))) / BLOCK_ITEMS), F.ceil(F.sum(F.when(mine, F.col("c"))) / BLOCK_MEMBERS), F.lit(0)).cast("int")
+        is_major = F.col("label") == F.col("major")
+        count = sizes.join(largest, "family").groupBy("family").agg(parts(is_major).alias("nm"), parts(~is_major).alias("nq"))
         count = count.join(largest, "family").where("nq > 0")
         placed = people.join(F.broadcast(count) if count.count() < 50_000 else count, "family")
         # blocks 0 .. nq-1 hold the members outside the largest component, nq .. nq+nm-1 those in it

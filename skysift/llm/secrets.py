@@ -127,7 +127,7 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> Tree:
             gain = np.where(ok, parent - (n * p * (1 - p) + (len(v) - n) * q * (1 - q)) / len(v), -1)
             k = int(gain.argmax())
             if gain[k] > best[0]:
-                best = (float(gain[k]), f, float((v[k] + v[k + 1]) / 2))
+                best = (float(gain[k]), f, float(v[k]))
         if best[1] < 0:
             return me
         low = x[rows, best[1]] <= best[2]
