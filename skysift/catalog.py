@@ -99,11 +99,11 @@ detects("det_not_absent", "events", rule({"x": {"missing": "1"}, "y": {"event_ty
 detects("det_nested", "events", rule(_three, "(a1 or a2) and (b or not a1)", name=""), "(lower(event_type) = 'error' OR value > 50) AND (user_id < 40 OR NOT lower(event_type) = 'error')")
 
 # --- arrays ---------------------------------------------------------------------------------------------------------
-detects("det_array_implicit", "embeddings", rule({"embedding|gt": 2.5}), "len(list_filter(embedding, lambda x: x > 2.5)) > 0")
-detects("det_array_any", "embeddings", rule({"embedding[any]|gt": 2.8}), "len(list_filter(embedding, lambda x: x > 2.8)) > 0")
-detects("det_array_all", "embeddings", rule({"embedding[all]|lt": 2.2}), "len(embedding) > 0 AND len(list_filter(embedding, lambda x: x < 2.2)) = len(embedding)")
-detects("det_array_none", "embeddings", rule({"embedding[none]|gt": 2.0}), "len(list_filter(embedding, lambda x: x > 2.0)) = 0")
-detects("det_array_index", "embeddings", rule({"embedding[0]|gt": 0.5, "embedding[-1]|lt": 0}), "embedding[1] > 0.5 AND embedding[len(embedding)] < 0")
+detects("det_array_implicit", "embeddings", rule({"embedding|gt": 0.3}), "len(list_filter(embedding, lambda x: x > 0.3)) > 0")
+detects("det_array_any", "embeddings", rule({"embedding[any]|gt": 0.35}), "len(list_filter(embedding, lambda x: x > 0.35)) > 0")
+detects("det_array_all", "embeddings", rule({"embedding[all]|lt": 0.3}), "len(embedding) > 0 AND len(list_filter(embedding, lambda x: x < 0.3)) = len(embedding)")
+detects("det_array_none", "embeddings", rule({"embedding[none]|gt": 0.25}), "len(list_filter(embedding, lambda x: x > 0.25)) = 0")
+detects("det_array_index", "embeddings", rule({"embedding[0]|gt": 0.1, "embedding[-1]|lt": 0}), "embedding[1] > 0.1 AND embedding[len(embedding)] < 0")
 _members = lambda df: df.withColumn("conn", F.array(F.struct(F.col("user_id").alias("port"), F.col("event_type").alias("kind")), F.struct((F.col("user_id") + 1).alias("port"), F.lit("x").alias("kind"))))
 detects("det_array_block", "events", rule({"conn[any]": {"port|lt": 10, "kind": "error"}}), "user_id < 10 AND event_type = 'error'", _members)
 detects("det_array_block_condition", "events", rule({"conn[any]": {"p": {"port|gte": 100}, "k": {"kind": "x"}, "condition": "p and not k"}}), "user_id >= 100", _members)
