@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysift.operators import alerts, correlate, detect, reports, schemas, stix
-from skysift.plans import pipelines, rules
+from skysift.plans import emit, pipelines, rules
 from skysift.sources import formats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -494,6 +494,26 @@ def graph_expand(spark, sf_dir):
     return stix.expand(n.union(s), spark.createDataFrame([("r0",)], "node string"), 2, ["in"])
 
 
+# --- rules as SQL text ----------------------------------------------------------------------------------------------
+def emitted(name: str, text: str, where: str | None = None, sql: str | None = None, grouped: bool = False) -> None:
+    """A query that runs the engine's own SQL text over a view of events."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table(spark, sf_dir, "events").createOrReplaceTempView("emitted_events")
+        rs = rules.load(text)
+        if where:
+            return spark.sql(emit.query(rs.rules[0], "emitted_events"))
+        return spark.sql(emit.correlation(rs.correlations[0], rs, "emitted_events", grouped=grouped))
+
+    query(name, sql or f"SELECT event_id, user_id FROM events WHERE {where}")(run)
+
+
+emitted("emit_rule", rule(_three, "(a1 or a2) and not b", name="", fields=["event_id", "user_id"]), "(lower(event_type) = 'error' OR value > 50) AND NOT user_id < 40")
+emitted("emit_sliding", _errors + "\n---\n" + correlation("event_count", {"gte": 2}, ["errors"]), sql=f"WITH {_hits}, w AS (SELECT user_id, t, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN {SPAN} PRECEDING AND CURRENT ROW) AS value FROM h) SELECT * FROM w WHERE value >= 2")
+emitted("emit_tumbling", _errors + "\n---\n" + correlation("value_sum", {"gt": 60, "field": "value"}, ["errors"], window="tumbling"), sql=f"WITH {_hits} SELECT user_id, t - t % {SPAN} AS bucket, sum(value) AS value FROM h GROUP BY ALL HAVING sum(value) > 60")
+emitted("emit_temporal", "\n---\n".join([_errors, _buys, correlation("temporal", {"gte": 2}, ["errors", "buys"])]), sql=f"WITH {_pair} SELECT user_id, t - t % {SPAN} AS bucket, count(DISTINCT event_type) AS value FROM h GROUP BY ALL HAVING count(DISTINCT event_type) >= 2")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bursts of errors of one user: at least two within seven days."""
     text = _errors + "\n---\n" + correlation("event_count", {"gte": 2}, ["errors"], span="7d")

@@ -11,7 +11,7 @@ from skysift import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["det_eq_ci", "det_cidr", "det_n_of", "det_array_block", "corr_event_count", "corr_temporal_ordered", "corr_session_cap", "corr_chain", "pipe_one_to_many", "schema_classify", "parse_syslog", "parse_cef", "risk_incidents", "inhibit", "stix_followedby"]
+SOME = ["det_eq_ci", "det_cidr", "det_n_of", "det_array_block", "corr_event_count", "corr_temporal_ordered", "corr_session_cap", "corr_chain", "pipe_one_to_many", "schema_classify", "parse_syslog", "parse_cef", "risk_incidents", "inhibit", "stix_followedby", "emit_rule", "emit_sliding", "emit_tumbling", "emit_temporal"]
 NAMES = sorted(catalog.QUERIES) if os.environ.get("ALL_QUERIES") else SOME
 
 
