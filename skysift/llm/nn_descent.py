@@ -1,10 +1,12 @@
 """Embedding near-duplicates by NN-descent.
 
 Neighbour lists start from vectors that are close in the order of random-hyperplane codes, and are refined by joining
-the neighbours (and some reverse neighbours) of each vector with one another, until few lists change and an audit
-against brute force, for a bounded query set over all rows, reaches the wanted recall. Edges at or above the threshold
-stay. A list that is full of such edges is saturated; its true neighbours may be more. So lists of linked vectors are
-enlarged to their whole component: in blocks, tasks count every pair's link exactly and emit one count a vector.
+the neighbours (and some reverse neighbours) of each vector with one another, until few lists change. Edges at or above
+the threshold are links. A list that is full of links is saturated; its true neighbours may be more. So the saturated
+vectors are searched again with lists for neighbours outside their component, until no list is full of links: a link
+can be cut from both its ends only if both are saturated. Inside components every pair is then counted exactly, in
+blocks: tasks emit one count a vector. An audit against brute force, for a query set over all rows, measures the share
+of true links that lie inside the components.
 """
 
 from __future__ import annotations
@@ -46,96 +48,113 @@ def cosines(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _edges(rows: list[tuple[int, int, float]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["a", "b", "s"])
+EDGE = "a long, b long, own boolean, s double"
 
 
-def _codes(double: bool, orders: int):
+def _edges(rows: list[tuple[int, int, bool, float]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.float64()))], names=["a", "b", "own", "s"])
+
+
+def _codes(double: bool, orders: range):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for b in batches:
             rows = _matrix(list(b.column(1)), double)
-            ids, code, order, keep = b.column(0).to_pylist(), [], [], []
+            ids, labels, code, order, keep = b.column(0).to_pylist(), b.column(2), [], [], []
             for i, v in enumerate(rows):
                 if len(v) not in planes:
-                    planes[len(v)] = np.random.default_rng(11).standard_normal((orders, 24, len(v)))
+                    planes[len(v)] = np.stack([np.random.default_rng([11, t]).standard_normal((24, len(v))) for t in orders])
                 bits = planes[len(v)] @ v > 0
-                for t in range(orders):
-                    order.append(t)
+                for t, o in enumerate(orders):
+                    order.append(o)
                     code.append(int(np.packbits(bits[t]).view(np.uint8) @ np.array([65536, 256, 1])))
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(order, pa.int32()), pa.array(code, pa.int64()), pa.array([ids[i] for i in keep], pa.int64()), b.column(1).take(pa.array(keep, pa.int64()))], names=["o", "code", "id", "raw"])
+            taken = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(order, pa.int32()), pa.array(code, pa.int64()), pa.array([ids[i] for i in keep], pa.int64()), b.column(1).take(taken), labels.take(taken)], names=["o", "code", "id", "raw", "label"])
 
     return run
 
 
 def _windows(double: bool, k: int):
-    """The best neighbours of each vector among those near it in one order; windows follow each other in a partition."""
+    """The best neighbours of each vector, of its component and of others, among those near it in one order; windows
+    follow each other in a partition."""
 
-    def top(order: int, ids: list[int], rows: list[np.ndarray]) -> pa.RecordBatch:
+    def top(ids: list[int], rows: list[np.ndarray], labels: list[int]) -> pa.RecordBatch:
         s = cosines(rows, rows)
         np.fill_diagonal(s, -3)
-        n = min(k, len(ids) - 1)
-        best = np.argpartition(-s, n - 1, axis=1)[:, :n] if n else np.zeros((len(ids), 0), int)
-        return _edges([(ids[i], ids[j], float(s[i, j])) for i in range(len(ids)) for j in best[i].tolist() if s[i, j] > -2])
+        same = np.equal.outer(labels, labels)
+        n, out = min(k, len(ids) - 1), []
+        for own in (False, True) if n and same.sum() > len(ids) else (False,):
+            part = np.where(same == own, s, -3)
+            best = np.argpartition(-part, n - 1, axis=1)[:, :n] if n else np.zeros((len(ids), 0), int)
+            out += [(ids[i], ids[j], own, float(s[i, j])) for i in range(len(ids)) for j in best[i].tolist() if part[i, j] > -2]
+        return _edges(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, ids, raw = -1, [], []
+        order, ids, raw, labels = -1, [], [], []
         for b in batches:
-            for o, i, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for o, i, r, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if o != order or len(ids) >= WINDOW:
                     if ids:
-                        yield top(order, ids, _matrix(raw, double))
-                    order, ids, raw = o, [], []
+                        yield top(ids, _matrix(raw, double), labels)
+                    order, ids, raw, labels = o, [], [], []
                 ids.append(i)
                 raw.append(r)
+                labels.append(c)
         if ids:
-            yield top(order, ids, _matrix(raw, double))
+            yield top(ids, _matrix(raw, double), labels)
 
     return run
 
 
 def _local_join(double: bool, k: int):
-    """Rows (centre, id, floor, raw) sorted by centre: for each member the others that beat its list's last entry."""
+    """Rows (centre, id, floor, own floor, raw, label) sorted by centre: for each member the others that beat the last
+    entry of its list for their kind, component or others."""
 
-    def join(ids: list[int], floor: list[float], rows: list[np.ndarray], out: list) -> None:
+    def join(ids: list[int], floors: list[tuple[float, float]], rows: list[np.ndarray], labels: list[int], out: list) -> None:
         if len(ids) < 2:
             return
         s = cosines(rows, rows)
         np.fill_diagonal(s, -3)
-        better = s > np.array(floor)[:, None]
+        same, floor = np.equal.outer(labels, labels), np.array(floors)
+        better = s > np.where(same, floor[:, 1:], floor[:, :1])
         for i in np.flatnonzero(better.any(1)).tolist():
-            js = np.flatnonzero(better[i])
-            for j in js[np.argsort(-s[i, js])[:k]].tolist():
-                if ids[i] != ids[j]:
-                    out.append((ids[i], ids[j], float(s[i, j])))
+            for own in (False, True):
+                js = np.flatnonzero(better[i] & (same[i] == own))
+                for j in js[np.argsort(-s[i, js])[:k]].tolist():
+                    out.append((ids[i], ids[j], own, float(s[i, j])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, ids, floor, raw, out = None, [], [], [], []
+        centre, ids, floors, raw, labels, out = None, [], [], [], [], []
         for b in batches:
-            for c, i, f, r in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for c, i, f, g, r, n in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if c != centre:
-                    join(ids, floor, _matrix(raw, double), out)
-                    centre, ids, floor, raw = c, [], [], []
+                    join(ids, floors, _matrix(raw, double), labels, out)
+                    centre, ids, floors, raw, labels = c, [], [], [], []
                 ids.append(i)
-                floor.append(f)
+                floors.append((f, g))
                 raw.append(r)
+                labels.append(n)
             if out:
                 yield _edges(out)
                 out = []
-        join(ids, floor, _matrix(raw, double), out)
+        join(ids, floors, _matrix(raw, double), labels, out)
         yield _edges(out)
 
     return run
 
 
-def _audit(double: bool, queries: list[tuple[int, bytes]], least: float):
+def _audit(double: bool, queries, least: float):
+    """Pairs (query, other) that are linked; `queries` is a broadcast list of (id, raw)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = _matrix([x for _, x in queries], double)
+        names, q = [i for i, _ in queries.value], _matrix([x for _, x in queries.value], double)
         for b in batches:
-            ids = b.column(0).to_pylist()
-            s = cosines(q, _matrix(list(b.column(1)), double)) if ids else np.zeros((len(q), 0))
-            yield _edges([(queries[i][0], ids[j], float(s[i, j])) for i, j in zip(*(x.tolist() for x in np.nonzero(s >= least)), strict=True) if queries[i][0] != ids[j]])
+            ids, rows, out = b.column(0).to_pylist(), _matrix(list(b.column(1)), double), []
+            for at in range(0, len(q) if rows else 0, 2048):
+                s = cosines(q[at : at + 2048], rows)
+                out += [(names[at + i], ids[j]) for i, j in zip(*(x.tolist() for x in np.nonzero(s >= least)), strict=True) if names[at + i] != ids[j]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -162,51 +181,85 @@ def _counts(double: bool, least: float):
 
 
 def _lists(edges: DataFrame, k: int) -> DataFrame:
-    """Rows (a, list): the k best neighbours."""
-    return edges.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("s")).alias("d"), "b"))), 1, k).alias("list"))
+    """Rows (a, own, list): the k best neighbours in the component of a (own) and the k best outside it."""
+    best = edges.repartition("a").groupBy("a", "own", "b").agg(F.max("s").alias("s"))
+    return best.groupBy("a", "own").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), "b"))), 1, k).alias("list"))
 
 
 def _flat(lists: DataFrame) -> DataFrame:
-    return lists.select("a", F.explode_outer("list").alias("x")).select("a", F.col("x.b").alias("b"), (-F.col("x.d")).alias("s")).where("b IS NOT NULL")
-
-
-def neighbour_lists(spark: SparkSession, vectors: DataFrame, double: bool, least: float, scratch: Scratch, told: Callable[[dict], None] | None = None, k: int = NEIGHBOURS) -> DataFrame:
-    """Rows (a, list<struct<d, b>>): for each of vectors(id, raw) its k or more nearest found, d = -cosine."""
-    coded = vectors.mapInArrow(_codes(double, ORDERS), "o int, code long, id long, raw binary")
-    near = coded.repartitionByRange("o", "code").sortWithinPartitions("o", "code", "id").select("o", "id", "raw")
-    edge = "a long, b long, s double"
-    lists = scratch.write(_lists(near.mapInArrow(_windows(double, k), edge), k), "lists0")
-    # a bounded query set against all rows
-    queries = [(r[0], bytes(r[1])) for r in vectors.orderBy(F.xxhash64("id")).limit(AUDIT).collect()]
-    true = checkpointed(vectors.mapInArrow(_audit(double, queries, least), edge)) if queries else None
-    wanted = true.groupBy("a").agg(F.count("*").alias("n")) if queries else None
+    return lists.select("a", "own", F.explode("list").alias("x")).select("a", F.col("x.b").alias("b"), "own", (-F.col("x.d")).alias("s"))
+
+
+def neighbour_lists(spark: SparkSession, vectors: DataFrame, double: bool, scratch: Scratch, orders: range, told: Callable[[dict], None] | None = None, k: int = NEIGHBOURS) -> DataFrame:
+    """Rows (a, own, list<struct<d, b>>): for each of vectors(id, raw, label) the k nearest found of its label (own) and
+    the k nearest of others, d = -cosine."""
+    name = f"lists{orders.start}"
+    lists = None
+    for at in orders[::ORDERS]:
+        coded = vectors.mapInArrow(_codes(double, range(at, min(at + ORDERS, orders.stop))), "o int, code long, id long, raw binary, label long")
+        near = coded.repartitionByRange("o", "code").sortWithinPartitions("o", "code", "id").select("o", "id", "raw", "label")
+        edges = near.mapInArrow(_windows(double, k), EDGE)
+        lists = scratch.write(_lists(edges if lists is None else edges.union(_flat(lists)), k), f"{name}_o{at}")
+        if at > orders.start:
+            scratch.remove(f"{name}_o{at - ORDERS}")
+        free_shuffles(spark)
+    last = f"{name}_o{at}"
     for step in range(1, ROUNDS + 1):
         flat = _flat(lists)
         back = flat.groupBy(F.col("b").alias("centre"), F.pmod(F.xxhash64("a", F.lit(step)), F.lit(REVERSE)).alias("slot")).agg(F.min("a").alias("id")).select("centre", "id")
         forward = flat.select(F.col("a").alias("centre"), F.col("b").alias("id"))
         members = forward.union(back).union(lists.select(F.col("a").alias("centre"), F.col("a").alias("id"))).distinct()
-        floors = vectors.join(lists.select(F.col("a").alias("id"), F.when(F.size("list") >= k, -F.element_at("list", -1)["d"]).alias("f")), "id", "left").select("id", F.coalesce("f", F.lit(-2.0)).alias("floor"), "raw")
-        joined = members.join(floors, "id").select("centre", "id", "floor", "raw")
-        better = joined.repartition("centre").sortWithinPartitions("centre", "id").mapInArrow(_local_join(double, k), edge)
-        new = scratch.write(_lists(flat.union(better), k), f"lists{step}")
+        end = lambda own: F.max(F.when((F.col("own") == own) & (F.size("list") >= k), -F.element_at("list", -1)["d"]))
+        floors = vectors.join(lists.groupBy(F.col("a").alias("id")).agg(end(False).alias("f"), end(True).alias("g")), "id", "left")
+        floors = floors.select("id", F.coalesce("f", F.lit(-2.0)).alias("floor"), F.coalesce("g", F.lit(-2.0)).alias("own_floor"), "raw", "label")
+        joined = members.join(floors, "id").select("centre", "id", "floor", "own_floor", "raw", "label")
+        better = joined.repartition("centre").sortWithinPartitions("centre", "id").mapInArrow(_local_join(double, k), EDGE)
+        new = scratch.write(_lists(flat.union(better), k), f"{name}_r{step}")
         changed = _flat(new).join(flat, ["a", "b"], "left_anti").count()
         total = max(1, _flat(new).count())
-        scratch.remove(f"lists{step - 1}")
+        scratch.remove(last)
         free_shuffles(spark)
-        lists = new
-        recall = 1.0
-        if queries:
-            # an audited list of k can hold no more than k links
-            found = _flat(lists).where(F.col("s") >= least).groupBy("a").agg(F.count("*").alias("m"))
-            r = wanted.join(found, "a", "left").agg(F.sum(F.least("n", F.coalesce("m", F.lit(0)))), F.sum(F.least("n", F.lit(k)))).first()
-            recall = 1.0 if not r[1] else (r[0] or 0) / r[1]
+        lists, last = new, f"{name}_r{step}"
         if told:
-            told({"round": step, "changed": changed / total, "recall": recall})
-        if changed / total < SETTLED and recall >= RECALL or recall >= RECALL and step >= 2:
+            told({"round": step, "changed": changed / total})
+        if changed / total < SETTLED:
             break
     return lists
 
 
+def _labelled(vectors: DataFrame, label: DataFrame | None) -> DataFrame:
+    """vectors(id, raw) with the label of their component, or their id."""
+    if label is None:
+        return vectors.select("id", "raw", F.col("id").alias("label"))
+    return vectors.select("id", "raw").join(label, "id", "left").select("id", "raw", F.coalesce("label", "id").alias("label"))
+
+
+def linked(spark: SparkSession, vectors: DataFrame, double: bool, least: float, scratch: Scratch, told: Callable[[dict], None] | None = None, k: int = NEIGHBOURS) -> DataFrame:
+    """Rows (id, label): the component of each of vectors(id, raw) that has a link."""
+    # a bounded query set against all rows
+    queries = [(r[0], bytes(r[1])) for r in vectors.orderBy(F.xxhash64("id")).limit(AUDIT).collect()]
+    true = checkpointed(vectors.mapInArrow(_audit(double, spark.sparkContext.broadcast(queries), least), "a long, b long"))
+    links, label, searched, orders = None, None, vectors, range(0, ORDERS)
+    while True:
+        searched = checkpointed(_labelled(searched, label))
+        if label is not None and searched.select("label").distinct().limit(2).count() < 2:
+            break
+        lists = neighbour_lists(spark, searched, double, scratch, orders, told, k)
+        found = checkpointed(_flat(lists).where(~F.col("own") & (F.col("s") >= least)).select("a", "b"))
+        links = found if links is None else links.union(found)
+        label = checkpointed(components(links).select(F.col("node").alias("id"), F.col("component").alias("label")))
+        full = lists.where(~F.col("own") & (F.size("list") >= k) & (-F.element_at("list", -1)["d"] >= least)).select(F.col("a").alias("id"))
+        searched = searched.join(full, "id", "left_semi")
+        orders = range(orders.stop, orders.stop + ORDERS)
+    x, y = label.select(F.col("id").alias("a"), F.col("label").alias("x")), label.select(F.col("id").alias("b"), F.col("label").alias("y"))
+    n, inside = true.join(x, "a", "left").join(y, "b", "left").agg(F.count("*"), F.count(F.when(F.col("x") == F.col("y"), 1))).first()
+    if told:
+        told({"audited": n, "recall": inside / n if n else None})
+    if n and inside / n < RECALL:
+        raise RuntimeError(f"only {inside} of {n} audited links found")
+    return label
+
+
 def near_vectors(spark: SparkSession, embeddings: DataFrame, least: float = 0.95, key: str = "vec_id", vector: str = "embedding", told: Callable[[dict], None] | None = None) -> DataFrame:
     """Rows (key, n_links, component_id, kept), one for each row.
 
@@ -231,9 +284,7 @@ def near_vectors(spark: SparkSession, embeddings: DataFrame, least: float = 0.95
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(x, kind).tobytes() for x in b.column(1).to_pylist()], pa.binary()), b.column(2), b.column(3)], names=["id", "raw", "weight", "least"])
 
     classes = scratch.write(classes.mapInArrow(raw, f"id long, raw binary, weight long, least {rows.schema['k'].dataType.simpleString()}"), "classes")
-    lists = neighbour_lists(spark, classes.select("id", "raw"), double, least, scratch, told)
-    links = checkpointed(_flat(lists).where(F.col("s") >= least).select("a", "b"))
-    label = checkpointed(components(links).select(F.col("node").alias("id"), F.col("component").alias("label")))
+    label = linked(spark, classes.select("id", "raw"), double, least, scratch, told)
     people = classes.join(label, "id")
     size = label.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     placed = people.join(size, "label").withColumn("block", F.pmod("id", "parts").cast("int"))
