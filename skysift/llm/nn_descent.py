@@ -6,11 +6,13 @@ the threshold are links. A list that is full of links is saturated; its true nei
 vectors are searched again with lists for neighbours outside their component, until no list is full of links: a link
 can be cut from both its ends only if both are saturated. Inside components every pair is then counted exactly, in
 blocks: tasks emit one count a vector. An audit against brute force, for a query set over all rows, measures the share
-of true links that lie inside the components.
+of true links that lie inside the components; it grows until it has seen enough links. The number of orders grows with
+the rows, so that two vectors at the threshold share a window in one of them; while the audit fails, more orders follow.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,10 +23,13 @@ from pyspark.sql import types as T
 
 from skysift.llm._common import Scratch, checkpointed, components, free_shuffles, prepare
 
-#: Neighbours of a list, orders at the start, vectors compared at once, reverse neighbours joined, rounds at most.
-NEIGHBOURS, ORDERS, WINDOW, REVERSE, ROUNDS = 8, 3, 512, 8, 8
-#: Share of list entries whose change means another round; queries of the audit; wanted recall; members of a block.
-SETTLED, AUDIT, RECALL, BLOCK = 0.02, 256, 0.98, 512
+#: Neighbours of a list, orders laid out at once, vectors compared at once, reverse neighbours joined, rounds at most.
+NEIGHBOURS, ORDERS, WINDOW, REVERSE, ROUNDS = 8, 3, 512, 8, 16
+#: Share of list entries whose change means another round; wanted recall; members of a block.
+SETTLED, RECALL, BLOCK = 0.02, 0.98, 512
+#: Queries of the audit at first, at most (and their bytes), links it should see; expected share of links at the
+#: threshold that miss each other in all orders; searches of the whole table before giving up.
+AUDIT, AUDIT_MOST, AUDIT_BYTES, SEEN, MISSED, SEARCHES = 256, 16384, 32 << 20, 200, 0.005, 5
 
 
 def _matrix(raw: list, double: bool) -> list[np.ndarray]:
@@ -83,12 +88,14 @@ def _windows(double: bool, k: int):
         s = cosines(rows, rows)
         np.fill_diagonal(s, -3)
         same = np.equal.outer(labels, labels)
-        n, out = min(k, len(ids) - 1), []
+        names, n, out = np.array(ids), min(k, len(ids) - 1), []
         for own in (False, True) if n and same.sum() > len(ids) else (False,):
             part = np.where(same == own, s, -3)
             best = np.argpartition(-part, n - 1, axis=1)[:, :n] if n else np.zeros((len(ids), 0), int)
-            out += [(ids[i], ids[j], own, float(s[i, j])) for i in range(len(ids)) for j in best[i].tolist() if part[i, j] > -2]
-        return _edges(out)
+            i, at = np.nonzero(np.take_along_axis(part, best, 1) > -2)
+            j = best[i, at]
+            out.append((names[i], names[j], np.full(len(i), own), s[i, j]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b", "own", "s"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, ids, raw, labels = -1, [], [], []
@@ -234,30 +241,64 @@ def _labelled(vectors: DataFrame, label: DataFrame | None) -> DataFrame:
     return vectors.select("id", "raw").join(label, "id", "left").select("id", "raw", F.coalesce("label", "id").alias("label"))
 
 
+def orders_for(rows: int, least: float) -> int:
+    """Orders in which two vectors at the threshold share a window at least once, but for a share MISSED of them.
+
+    A window holds vectors whose codes agree in about log2(rows / WINDOW) leading bits; one more is for its borders.
+    """
+    if rows <= WINDOW:
+        return 1
+    agree = 1 - math.acos(max(-1.0, min(1.0, least))) / math.pi
+    together = agree ** (math.log2(rows / WINDOW) + 1)
+    return max(ORDERS, math.ceil(math.log(MISSED) / math.log1p(-together))) if together < 1 else ORDERS
+
+
+def audited(spark: SparkSession, vectors: DataFrame, rows: int, double: bool, least: float) -> tuple[DataFrame, int, int]:
+    """True links (a, b) of a query set a over all rows, their number, and that of the queries.
+
+    Queries are dealt by a hash of the id; the set grows until it has seen SEEN links, has every row, or is as large as
+    AUDIT_MOST and AUDIT_BYTES allow.
+    """
+    slots = 1 << 40
+    width = vectors.agg(F.max(F.length("raw"))).first()[0] or 1
+    most = max(AUDIT, min(AUDIT_MOST, AUDIT_BYTES // width))
+    slot, true, seen, asked, low, wanted = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(slots)), None, 0, 0, 0, AUDIT
+    while True:
+        high = slots if wanted >= rows else int(slots * (wanted / rows))
+        queries = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in vectors.where((slot >= low) & (slot < high)).collect()])
+        more = checkpointed(vectors.mapInArrow(_audit(double, queries, least), "a long, b long"))
+        true, seen, asked, low = more if true is None else true.union(more), seen + more.count(), asked + len(queries.value), high
+        if seen >= SEEN or high == slots or wanted >= most:
+            return true, seen, asked
+        wanted = min(most, wanted * 8)
+
+
 def linked(spark: SparkSession, vectors: DataFrame, double: bool, least: float, scratch: Scratch, told: Callable[[dict], None] | None = None, k: int = NEIGHBOURS) -> DataFrame:
     """Rows (id, label): the component of each of vectors(id, raw) that has a link."""
-    # a bounded query set against all rows
-    queries = [(r[0], bytes(r[1])) for r in vectors.orderBy(F.xxhash64("id")).limit(AUDIT).collect()]
-    true = checkpointed(vectors.mapInArrow(_audit(double, spark.sparkContext.broadcast(queries), least), "a long, b long"))
-    links, label, searched, orders = None, None, vectors, range(0, ORDERS)
+    rows = vectors.count()
+    true, n, asked = audited(spark, vectors, rows, double, least)
+    wide = orders_for(rows, least)
+    links, label, searched, orders, searches = None, None, _labelled(vectors, None), range(0, wide), 0
     while True:
-        searched = checkpointed(_labelled(searched, label))
-        if label is not None and searched.select("label").distinct().limit(2).count() < 2:
-            break
-        lists = neighbour_lists(spark, searched, double, scratch, orders, told, k)
+        lists = neighbour_lists(spark, checkpointed(searched), double, scratch, orders, told, k)
         found = checkpointed(_flat(lists).where(~F.col("own") & (F.col("s") >= least)).select("a", "b"))
         links = found if links is None else links.union(found)
         label = checkpointed(components(links).select(F.col("node").alias("id"), F.col("component").alias("label")))
         full = lists.where(~F.col("own") & (F.size("list") >= k) & (-F.element_at("list", -1)["d"] >= least)).select(F.col("a").alias("id"))
-        searched = searched.join(full, "id", "left_semi")
-        orders = range(orders.stop, orders.stop + ORDERS)
-    x, y = label.select(F.col("id").alias("a"), F.col("label").alias("x")), label.select(F.col("id").alias("b"), F.col("label").alias("y"))
-    n, inside = true.join(x, "a", "left").join(y, "b", "left").agg(F.count("*"), F.count(F.when(F.col("x") == F.col("y"), 1))).first()
-    if told:
-        told({"audited": n, "recall": inside / n if n else None})
-    if n and inside / n < RECALL:
-        raise RuntimeError(f"only {inside} of {n} audited links found")
-    return label
+        orders = range(orders.stop, orders.stop + wide)
+        searched = checkpointed(_labelled(searched.join(full, "id", "left_semi"), label))
+        if searched.select("label").distinct().limit(2).count() == 2:
+            continue
+        searches += 1
+        x, y = label.select(F.col("id").alias("a"), F.col("label").alias("x")), label.select(F.col("id").alias("b"), F.col("label").alias("y"))
+        inside = true.join(x, "a", "left").join(y, "b", "left").where("x = y").count()
+        if told:
+            told({"search": searches, "asked": asked, "audited": n, "recall": inside / n if n else None})
+        if inside >= RECALL * n:
+            return label
+        if searches == SEARCHES:
+            raise RuntimeError(f"only {inside} of {n} audited links found after {searches} searches of {wide} orders")
+        searched = _labelled(vectors, label)
 
 
 def near_vectors(spark: SparkSession, embeddings: DataFrame, least: float = 0.95, key: str = "vec_id", vector: str = "embedding", told: Callable[[dict], None] | None = None) -> DataFrame:
@@ -266,8 +307,9 @@ def near_vectors(spark: SparkSession, embeddings: DataFrame, least: float = 0.95
     Two vectors of equal length are linked if their cosine, in double precision, is at least `least`. A vector that is
     null, empty, zero, or holds a null or non-finite component links with nothing; its component is its own key. Equal
     vectors are searched once and counted as often as they occur. Keys must be integers; rows with a null key take part
-    with a null id, and repeated keys are rows of their own. An empty table gives an empty one. Search is approximate
-    (see RECALL); links are always exact, and so are counts inside a found component.
+    with a null id, and repeated keys are rows of their own. An empty table gives an empty one. Search is approximate:
+    an audit that finds less than RECALL of the true links raises; links are always exact, and so are counts inside a
+    found component.
     """
     prepare(spark)
     scratch = Scratch(spark, "nn")
