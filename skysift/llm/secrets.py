@@ -26,10 +26,10 @@ from skysift.llm._common import prepare
 TREES, DEPTH, LEAF, FINDINGS, CONTEXT, ACCEPT = 40, 8, 3, 6000, 60, 0.5
 PATTERNS = (
     ("aws_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"),
-    ("github", r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{30,255}"),
+    ("github", r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{30,}+"),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    ("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
-    ("assigned", r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"']?)[^\s\"'<>]{6,256}"),
+    ("private_key", r"-----BEGIN (?P<label>[A-Z ]{0,20}PRIVATE KEY)-----(?:(?:[^-]|-(?!----))*+-----END (?P=label)-----)?"),
+    ("assigned", r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"']?)(?!-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)[^\s\"'<>]{6,}+"),
     ("long", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])[A-Za-z0-9+/_=-]{24,}"),
 )
 _pattern = re.compile("|".join(f"(?P<{n}>{p})" for n, p in PATTERNS))
