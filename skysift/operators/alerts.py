@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysift.functions.literals import quote
+from skysift.llm._common import components
 
 #: Rows up to which a lookup side is broadcast, as counted.
 BROADCAST_ROWS = 100_000
@@ -141,22 +142,14 @@ def entity_incidents(alerts: DataFrame, alert_id: str, entities: list[str], stop
     """Alerts that share an entity value, directly or through others: rows (alert_id, incident), incident = smallest alert id.
 
     Stop values link nothing; nor do values of more than `ceiling` alerts. Links are stars, from a value's smallest alert.
+    Chains of any length are followed; raises if the components don't settle.
     """
     values = F.array_distinct(F.array(*(F.col(e).cast("string") for e in entities)))
     pairs = alerts.select(F.col(alert_id).alias("a"), F.explode_outer(values).alias("v")).where(F.col("v").isNotNull() & ~F.col("v").isin(list(stop) or [""]))
     stars = pairs.groupBy("v").agg(F.min("a").alias("b"), F.count("*").alias("n"))
     stars = stars.where(F.col("n") <= ceiling) if ceiling else stars
     edges = pairs.join(stars, "v").select("a", "b").distinct()
-    label = edges.groupBy("a").agg(F.min("b").alias("label"))
-    seen = None
-    for _ in range(30):
-        both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).toDF("x", "y")
-        low = both.join(label, F.col("y") == F.col("a")).groupBy("x").agg(F.min("label").alias("m"))
-        label = low.join(label, F.col("x") == F.col("a"), "left").select(F.col("x").alias("a"), F.least("m", F.coalesce("label", "m")).alias("label")).checkpoint()
-        now = label.agg(F.sum(F.xxhash64("a", "label").cast("decimal(38,0)"))).first()[0]
-        if now == seen:
-            break
-        seen = now
+    label = components(edges).toDF("a", "label")
     return alerts.select(F.col(alert_id)).join(label, F.col(alert_id) == F.col("a"), "left").select(alert_id, F.coalesce("label", F.col(alert_id)).alias("incident"))
 
 
