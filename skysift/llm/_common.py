@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -20,34 +21,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings the operators rely on: small Arrow batches, and a checkpoint folder."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Session settings the operators rely on where the caller set none: small Arrow batches, and a checkpoint folder."""
+    for name, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        have = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+        if have <= 0 or have > value:
+            spark.conf.set(name, str(value))
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where the cluster names none."""
+    """The folder all executors share (spark.checkpoint.dir).
+
+    One of our own only in local mode, where driver and executors are one process; on a cluster that names none, refuse.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     made = spark.sparkContext._jsc.sc().getCheckpointDir()
     if made.isDefined():
         return made.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return tempfile.mkdtemp(prefix="skysift-")
 
 
 class Scratch:
-    """Intermediate tables in the shared folder. They outlive lost executors; close() removes them."""
+    """Intermediate tables in the shared folder. They outlive lost executors; keep() and close() remove them."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.tables = spark, []
+        self.spark, self.tables, self.names = spark, [], []
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def write_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
@@ -55,11 +64,37 @@ class Scratch:
         known = f"scratch_{name}_{uuid.uuid4().hex}"
         df.write.bucketBy(buckets, key).sortBy(key).option("path", f"{self.root}/{name}").saveAsTable(known)
         self.tables.append(known)
+        self.names.append(name)
         return self.spark.table(known)
 
     def remove(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        """Remove one table; a name that is gone already is no error."""
+        self._delete(f"{self.root}/{name}")
+        if name in self.names:
+            self.names.remove(name)
+
+    def keep(self, df: DataFrame, name: str = "result") -> DataFrame:
+        """Write df as the result and remove all that it was made from; the result stays until close()."""
+        old = list(self.names)
+        out = self.write(df, name)
+        self._drop_tables()
+        for x in old:
+            self.remove(x)
+        return out
+
+    def close(self) -> None:
+        """Remove everything, results included."""
+        self._drop_tables()
+        self._delete(self.root)
+        self.names = []
+
+    def _drop_tables(self) -> None:
+        for known in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {known}")
+        self.tables = []
+
+    def _delete(self, where: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

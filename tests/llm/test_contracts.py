@@ -39,6 +39,91 @@ def test_suffix_dedup(spark, docs, monkeypatch):
     assert rows(suffix_dedup.remove_repeats(spark, df)) == brute.repeats([d[:2] for d in data])
 
 
+def test_suffix_dedup_deals_hot_buckets_again(spark, docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 4000)
+    monkeypatch.setattr(suffix_dedup, "HOT", 500)
+    data, df = docs
+    assert rows(suffix_dedup.remove_repeats(spark, df)) == brute.repeats([d[:2] for d in data])
+
+
+def test_suffix_dedup_does_not_trust_fingerprints(spark):
+    """Two different strings of 100 bytes with one fingerprint: nothing repeats."""
+    a, b = colliding_strings(100)
+    assert a != b
+    got = rows(suffix_dedup.remove_repeats(spark, spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")))
+    assert [x[1] for x in got.values()] == [0, 0] and got == brute.repeats([(1, a), (2, b)])
+
+
+def test_suffix_groups_with_one_name_are_settled_by_bytes():
+    import numpy as np
+
+    r = random.Random(4)
+    raw = "".join(r.choice("ab") for _ in range(4000)).encode()
+    data = np.frombuffer(raw, np.uint8)
+    for length in (3, 7, 8, 13):
+        at = np.arange(0, len(raw) - length + 1)
+        seen, want = set(), []
+        for i in at.tolist():
+            want.append(raw[i : i + length] in seen)
+            seen.add(raw[i : i + length])
+        for names in (suffix_dedup.hashes_at, lambda d, p, n: np.zeros(len(p), np.uint64), lambda d, p, n: d[p].astype(np.uint64)):
+            assert suffix_dedup.repeated(data, at, length, names).tolist() == want
+
+
+def test_suffix_dedup_leaves_nothing_behind(spark, docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    suffix_dedup.remove_repeats(spark, docs[1]).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_suffix_dedup_orders_any_key(spark):
+    from datetime import date
+
+    t = "q" * 150
+    pair = [(date(2024, 1, 2), t), (date(2024, 1, 1), t)]
+    assert {k: v[1] for k, v in rows(suffix_dedup.remove_repeats(spark, spark.createDataFrame(pair, "doc_id date, text string"))).items()} == {date(2024, 1, 1): 149, date(2024, 1, 2): 150}
+
+
+def colliding_strings(length: int) -> tuple[str, str]:
+    """Strings of ASCII letters whose fingerprints agree, though no byte does in a good part of them.
+
+    The fingerprint is linear in the table's entries modulo 2**64, so a small combination of byte changes that sums to
+    zero is found by meeting in the middle over pairs of letters, first in low bits, then in all (Wagner's tree).
+    """
+    import numpy as np
+
+    from skysift.llm._bytes import BASE, TABLE, U
+
+    r = np.random.default_rng(5)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8)
+    power = np.multiply.accumulate(np.concatenate(([U(1)], np.full(length - 1, BASE))))
+    while True:
+        # eight lists of changes over disjoint stretches of 12 positions; lists are merged on 16, 16 and the last 32 bits
+        n = 1 << 17
+        lists = []
+        for k in range(8):
+            at = np.arange(12 * k, 12 * k + 12)
+            x, y = letters[r.integers(0, 52, (n, 12))], letters[r.integers(0, 52, (n, 12))]
+            lists.append(((x, y), ((TABLE[x] - TABLE[y]) * power[at]).sum(1, dtype=np.uint64)))
+        for bits in (16, 32, 64):
+            merged = []
+            for (p, u), (q, w) in zip(lists[::2], lists[1::2], strict=True):
+                mask = U(2**bits - 1)
+                want, have = (U(0) - w) & mask, u & mask
+                order = np.argsort(have)
+                lo, hi = np.searchsorted(have[order], want, "left"), np.searchsorted(have[order], want, "right")
+                j = np.repeat(np.arange(len(w)), hi - lo)
+                i = order[np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange(len(j))]
+                keep = slice(0, 1 << 18)
+                i, j = i[keep], j[keep]
+                merged.append((tuple(np.hstack((a[i], b[j])) for a, b in zip(p, q, strict=True)), u[i] + w[j]))
+            lists = merged
+        (x, y), total = lists[0]
+        if len(total):
+            tail = b"z" * (length - 96)
+            return (x[0].tobytes() + tail).decode(), (y[0].tobytes() + tail).decode()
+
+
 def test_suffix_dedup_many_blocks_at_once():
     import numpy as np
 
