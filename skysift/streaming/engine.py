@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -22,46 +23,64 @@ def detections(rules: RuleSet, stream: DataFrame, route: bool = False) -> DataFr
 
 
 class _Replay(StatefulProcessor):
-    """Feeds a group's hits, in (ts, seq) order within a micro-batch, to the sequential definition."""
+    """Feeds a group's hits, in (ts, seq) order within a micro-batch, to the sequential definition.
+
+    State goes by event time: a timer, set anew with each hit, drops a group when the watermark has passed the last
+    moment at which its window, gap or suppression can matter.
+    """
 
     def __init__(self, c: Correlation, groups: list[str]):
         self.c, self.groups = c, groups
+        self.keep = c.timespan + (c.gap or 0) + (c.suppress or 0) + 1
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = 1000 * (self.c.timespan + (self.c.gap or 0) + (self.c.suppress or 0))
-        self.state = handle.getValueState("window", "entries string, start long, last long, fired long", ttl)
+        self.handle = handle
+        self.state = handle.getValueState("window", "entries string, start long, last long, fired long, until long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        import json
-
-        s = replay.State()
+        s, until = replay.State(), None
         if self.state.exists():
-            entries, s.start, s.last, s.fired = self.state.get()
+            entries, s.start, s.last, s.fired, until = self.state.get()
             s.entries = json.loads(entries)
-        pdf = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        out = []
+        pdf = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
+        out, number = [], lambda x: None if pd.isna(x) else float(x)
         for r in pdf.itertuples():
-            got = replay.step(self.c, s, int(r.ts), r.ref, None if pd.isna(r.number) else float(r.number), None if pd.isna(r.distinct) else r.distinct)
+            got = replay.step(self.c, s, int(r.ts), r.ref, number(r.number), None if pd.isna(r.distinct) else r.distinct)
             if got is not None:
-                out.append((*(getattr(r, g) for g in self.groups), int(r.ts), int(r.seq), got))
-        self.state.update((json.dumps(s.entries), s.start, s.last, s.fired))
+                out.append((*key, int(r.ts), int(r.seq), got))
+        end = max(1000 * (int(pdf["ts"].max()) + self.keep), until or 0)
+        if end != until:
+            if until is not None:
+                self.handle.deleteTimer(until)
+            self.handle.registerTimer(end)
+        self.state.update((json.dumps(s.entries), s.start, s.last, s.fired, end))
         yield pd.DataFrame(out, columns=[*self.groups, "ts", "seq", "value"])
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def correlation(c: Correlation, rules: RuleSet, stream: DataFrame, time_field: str | None = None, seq: str | None = None) -> DataFrame:
+def correlation(c: Correlation, rules: RuleSet, stream: DataFrame, time_field: str | None = None, seq: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Firings of one correlation over a stream, append mode; the state store must be RocksDB.
 
-    State lives as long as its window may matter (processing-time TTL). Arrival order is that of micro-batches, then
-    (ts, seq) inside one.
+    Arrival order is that of micro-batches, then (ts, seq) inside one; seq names a column of the source (an offset, say),
+    else a hash of the event orders hits of one second. Rows more than `late` behind the latest event time seen are left
+    out, as the watermark says. A state lives until the watermark passes the end of what it can still affect, so replays
+    give what the first run gave, whatever the wall clock. A null group key is a group of its own.
     """
-    df, groups = prepared(c, hits(rules, stream, time_field, seq), rules)
+    order = seq or "__order"
+    known = stream if seq else stream.withColumn(order, F.xxhash64(*stream.columns))
+    found = hits(rules, known, time_field, order)
+    df, groups = prepared(c, found, rules)
     keys = groups or ["all"]
     df = df if groups else df.withColumn("all", F.lit(""))
+    df = df.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", late)
     schema = ", ".join([f"{g} string" for g in keys] + ["ts long", "seq long", "value double"])
-    out = df.groupBy(*keys).transformWithStateInPandas(_Replay(c, keys), schema, "Append", "None")
+    out = df.groupBy(*keys).transformWithStateInPandas(_Replay(c, keys), schema, "Append", "EventTime")
     return out.select(F.lit(c.key).alias("rule_key"), *(F.col(g).alias(n) for g, n in zip(groups, c.group_by, strict=True)), "ts", "seq", "value")
 
 
