@@ -275,10 +275,13 @@ def near_copies(spark: SparkSession, documents: DataFrame, percent: int = 80, sh
 
 
 def keep_one(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents with one of each group of near copies, that of the smallest key; all columns stay.
+    """The documents with one of each group of near copies, that of the smallest key; all columns stay as they were.
 
-    Of wholly equal (key, text) rows one stays. Rows with a null key can't be told apart and all stay.
+    Rows are told apart by key and text (its SHA-256), so a repeated key keeps no copy alive. Null keys come after all
+    others. Of rows with equal key and text one stays; of one group's rows with equal keys, that of the least digest.
     """
-    kept = near_copies(spark, documents.where(F.col(key).isNotNull()), key=key, text=text, **options).where("kept").select(F.col(key).alias("__kept")).distinct()
-    named = documents.join(kept, F.col(key) == F.col("__kept"), "left_semi").dropDuplicates([key, text])
-    return named.union(documents.where(F.col(key).isNull())).select(documents.columns)
+    row = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.coalesce(F.sha2(F.col(text), 256), F.lit("")).alias("h"))
+    whole = documents.select(F.struct(*documents.columns).alias("document"), row.alias("row"), F.col(text).alias("t"))
+    kept = near_copies(spark, whole.select("row", "t"), key="row", text="t", **options).where("kept").select(F.col("row.k").alias("kk"), F.col("row.h").alias("kh")).distinct()
+    same = F.col("row.k").eqNullSafe(F.col("kk")) & (F.col("row.h") == F.col("kh"))
+    return whole.join(kept, same, "left_semi").dropDuplicates(["row"]).select("document.*")

@@ -1,17 +1,19 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
 Strict patterns give the base spans. Looser patterns give further candidates, on which labelers vote: format,
-gazetteer, words before, words after, surroundings. Expectation-maximisation over the counts of vote patterns (a few
-dozen rows, whatever the corpus) estimates each labeler's reliability; a final logistic span classifier is fitted to
-the resulting posteriors over span features and decides which candidates become spans.
+gazetteer, words before, words after, surroundings. Expectation-maximisation over the counts of vote patterns estimates
+each labeler's reliability. The final span classifier is logistic, fitted to the resulting posteriors over what the
+labelers don't look at: the span's shape (separators, letters, length, spread of its characters) and its context (line
+start, kind of character and of word on either side, company of other digits), besides its kind. It decides which
+candidates become spans. Training sees one row for each distinct signature, whose number the feature set bounds.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +45,8 @@ AROUND = 24
 #: Probability from which a candidate is a span.
 THRESHOLD = 0.5
 LABELERS = ("format", "gazetteer", "before", "after", "clean")
-
+#: The classifier's features beyond kind, each with its values in order (a signature has one character for each).
+SHAPE = (("separator", "-. (x"), ("letters", "Aan"), ("length", "smlh"), ("variety", "lmh"), ("left", "ndwp"), ("right", "nwdp"), ("label", "yn"), ("company", "yn"))
 
 #: Characters of which a match has at least one; looking for these first is cheaper.
 NEEDS = {"email": "@", "phone": "+", "ip": ".", "hidden_email": ")]", "ssn": "-"}
@@ -122,6 +125,21 @@ def votes(x: Column) -> Column:
     return F.concat(*(sign(v) for v in (well, gazetteer, before, after, clean)))
 
 
+def signature(x: Column) -> Column:
+    """A span's features in the order of SHAPE, one character each."""
+    value, left, right = x["value"], x["left"], x["right"]
+    size, spread = F.length(value), F.size(F.array_distinct(F.split(value, "")))
+    separator = F.when(F.contains(value, F.lit("(")), "(").when(F.contains(value, F.lit("-")), "-").when(F.contains(value, F.lit(".")), ".").when(F.contains(value, F.lit(" ")), " ").otherwise("x")
+    letters = F.when(value.rlike("[A-Z]"), "A").when(value.rlike("[a-z]"), "a").otherwise("n")
+    length = F.when(size <= 11, "s").when(size <= 16, "m").when(size <= 24, "l").otherwise("h")
+    variety = F.when(spread * 3 <= size, "l").when(spread * 2 <= size, "m").otherwise("h")
+    before = F.when(F.length(left) == 0, "n").when(left.rlike(r"[\n\r]\s*$"), "n").when(left.rlike(r"[0-9]\W{0,2}$"), "d").when(left.rlike(r"[A-Za-z]\s*$"), "w").otherwise("p")
+    after = F.when(F.length(right) == 0, "n").when(right.rlike(r"^\s*[\n\r]"), "n").when(right.rlike(r"^\W{0,2}[0-9]"), "d").when(right.rlike(r"^\s*[A-Za-z]"), "w").otherwise("p")
+    label = F.when(left.rlike(r"[A-Za-z]{2}[\x20]?[:=#][\x20]?$"), "y").otherwise("n")
+    company = F.when(left.rlike("[0-9]{2}") | right.rlike("[0-9]{2}"), "y").otherwise("n")
+    return F.concat(separator, letters, length, variety, before, after, label, company)
+
+
 def fit_labelers(patterns: list[tuple[str, str, int]], rounds: int = 60, prior: float = 0.5) -> dict[tuple[str, str], float]:
     """Posterior probability of being personal for each (kind, votes) pattern, given (kind, votes, count) rows.
 
@@ -159,67 +177,83 @@ def fit_labelers(patterns: list[tuple[str, str, int]], rounds: int = 60, prior:
     return post
 
 
-def features(kind: str, v: str) -> list[str]:
-    """Names of a span's features: its kind, each vote, and each pair of vote and kind."""
-    own = [f"{a}{o}" for a, o in zip(LABELERS, v, strict=True) if o != "0"]
+def features(kind: str, shape: str) -> list[str]:
+    """Names of a span's features: its kind, each shape or context value, and each of these for its kind."""
+    own = [f"{n}={o}" for (n, _), o in zip(SHAPE, shape, strict=True)]
     return ["bias", f"kind={kind}", *own, *(f"{kind}&{x}" for x in own)]
 
 
-def fit_classifier(patterns: list[tuple[str, str, int]], posterior: dict[tuple[str, str], float], rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> dict[str, float]:
-    """Weights of a logistic span classifier on soft labels; rows weigh by the logarithm of their count, so that common kinds don't drown rare ones."""
-    weights: dict[str, float] = {}
-    rows = [(features(k, v), posterior[k, v], math.log1p(n)) for k, v, n in sorted(patterns)]
-    scale = sum(r[2] for r in rows) or 1.0
+def fit_classifier(rows: list[tuple[str, str, float, int]], rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> dict[str, float]:
+    """Weights of a logistic span classifier from rows (kind, shape, probability, count); a row weighs by the logarithm of
+    its count, so that common kinds don't drown rare ones."""
+    if not rows:
+        return {}
+    names = sorted({x for k, v, _, _ in rows for x in features(k, v)})
+    at = {x: i for i, x in enumerate(names)}
+    index = np.array([[at[x] for x in features(k, v)] for k, v, _, _ in rows])
+    target, weight = np.array([r[2] for r in rows]), np.log1p(np.array([r[3] for r in rows], float))
+    weight /= weight.sum()
+    w = np.zeros(len(names))
     for _ in range(rounds):
-        gradient: dict[str, float] = {}
-        for names, target, n in rows:
-            z = sum(weights.get(x, 0.0) for x in names)
-            error = n * (1 / (1 + math.exp(-z)) - target) / scale
-            for x in names:
-                gradient[x] = gradient.get(x, 0.0) + error
-        for x, g in gradient.items():
-            weights[x] = weights.get(x, 0.0) - rate * (g + decay * weights.get(x, 0.0)) * 4
-    return weights
-
-
-def with_candidates(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Adds __base and __loose: checked base spans and further candidates, array<struct<kind, start, end, votes>> by kind, then start."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    cut = documents.select("*", *(_cut(t, k, p).alias(f"__{k}") for k, p in {**BASE, **LOOSE}.items()))
+        error = weight * (1 / (1 + np.exp(-w[index].sum(1))) - target)
+        gradient = np.bincount(index.ravel(), np.repeat(error, index.shape[1]), len(names))
+        w -= rate * (gradient + decay * w) * 4
+    return dict(zip(names, w.tolist(), strict=True))
+
+
+def with_candidates(texts: DataFrame) -> DataFrame:
+    """Of any columns and a text column `t`, without t: adds base and loose, checked base spans and further candidates,
+    array<struct<kind, start, end, votes, shape>> by kind, then start. Callers give no other column of these names."""
+    rest = [c for c in texts.columns if c != "t"]
+    t = F.coalesce(F.col("t"), F.lit(""))
+    cut = texts.select(*rest, *(_cut(t, k, p).alias(f"cut_{k}") for k, p in {**BASE, **LOOSE}.items()))
     checked = lambda k: lambda x: valid(k, x["value"])
-    base = [F.filter(spans_of(F.col(f"__{k}"), k), checked(k)) for k in BASE]
-    loose = [spans_of(F.col(f"__{k}"), k) for k in LOOSE]
-    slim = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), votes(x).alias("votes"))
-    return cut.select(*documents.columns, F.transform(F.concat(*base), slim).alias("__base"), F.transform(F.concat(*loose), slim).alias("__loose"))
-
-
-def train(found: DataFrame) -> list[str]:
-    """The (kind:votes) patterns that the span classifier accepts, from the counts of patterns in __base and __loose."""
-    both = found.select(F.explode_outer(F.concat("__base", "__loose")).alias("x")).where("x IS NOT NULL")
-    # one row for each kind and vote pattern: 9 kinds x 3^5 patterns at most
-    patterns = [(r[0], r[1], r[2]) for r in both.groupBy("x.kind", "x.votes").agg(F.count("*")).collect()]
-    weights = fit_classifier(patterns, fit_labelers(patterns))
-    likely = lambda k, v: 1 / (1 + math.exp(-sum(weights.get(x, 0.0) for x in features(k, v))))
-    return [f"{k}:{v}" for k in LOOSE for v in map("".join, itertools.product("+-0", repeat=len(LABELERS))) if weights and likely(k, v) >= THRESHOLD]
-
-
-def added(accepted: list[str]) -> Column:
-    """The accepted candidates of __loose that overlap no span of __base."""
-    accept = F.array(*map(F.lit, accepted)).cast("array<string>")
-    return F.filter("__loose", lambda x: F.array_contains(accept, F.concat(x["kind"], F.lit(":"), x["votes"])) & ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    base = [F.filter(spans_of(F.col(f"cut_{k}"), k), checked(k)) for k in BASE]
+    loose = [spans_of(F.col(f"cut_{k}"), k) for k in LOOSE]
+    slim = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), votes(x).alias("votes"), signature(x).alias("shape"))
+    return cut.select(*rest, F.transform(F.concat(*base), slim).alias("base"), F.transform(F.concat(*loose), slim).alias("loose"))
+
+
+def train(found: DataFrame) -> dict[str, float]:
+    """The span classifier's weights, from the counts of vote and shape patterns in base and loose."""
+    both = found.select(F.explode_outer(F.concat("base", "loose")).alias("x")).where("x IS NOT NULL")
+    # one row for each pattern; their number is bounded by the votes and shapes there are, whatever the corpus
+    rows = [tuple(r) for r in both.groupBy("x.kind", "x.votes", "x.shape").agg(F.count("*")).collect()]
+    counts: dict[tuple[str, str], int] = {}
+    for kind, v, _, n in rows:
+        counts[kind, v] = counts.get((kind, v), 0) + n
+    posterior = fit_labelers([(k, v, n) for (k, v), n in sorted(counts.items())])
+    return fit_classifier(sorted((k, shape, posterior[k, v], n) for k, v, shape, n in rows))
+
+
+def likely(weights: dict[str, float], kind: Column, shape: Column) -> Column:
+    """The classifier's probability that a span is personal; features it never saw count nothing."""
+    entry = lambda x: F.coalesce(F.element_at(known, x), F.lit(0.0))
+    known = F.create_map(*(F.lit(y) for kv in sorted(weights.items()) for y in kv)) if weights else F.create_map().cast("map<string,double>")
+    z = entry(F.lit("bias")) + entry(F.concat(F.lit("kind="), kind))
+    for i, (name, _) in enumerate(SHAPE):
+        value = F.concat(F.lit(f"{name}="), F.substring(shape, i + 1, 1))
+        z = z + entry(value) + entry(F.concat(kind, F.lit("&"), value))
+    return 1 / (1 + F.exp(-z))
+
+
+def added(weights: dict[str, float]) -> Column:
+    """The accepted candidates of `loose` that overlap no span of `base`."""
+    if not weights:
+        return F.filter("loose", lambda x: F.lit(False))
+    return F.filter("loose", lambda x: (likely(weights, x["kind"], x["shape"]) >= THRESHOLD) & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
 
 
 def find(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, base, added): arrays of struct<kind, start, end, votes>, positions in code points, end exclusive.
+    """Rows (key, base, added): arrays of struct<kind, start, end, votes, shape>, positions in code points, end exclusive.
 
     base holds the strict spans by kind (email, ip, card, phone), then start. added holds the looser candidates that
     overlap no base span and that the span classifier accepts, by kind, then start. A null text has none. Rows with a
     null or repeated key are judged each on its own. An empty table gives an empty one. Texts are scanned once.
     """
     prepare(spark)
-    narrow = documents.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    found = Scratch(spark, "pii").write(with_candidates(narrow, "t").drop("t"), "spans")
-    return found.select(F.col("k").alias(key), F.col("__base").alias("base"), added(train(found)).alias("added"))
+    found = Scratch(spark, "pii").write(with_candidates(documents.select(F.col(key).alias("k"), F.col(text).alias("t"))), "spans")
+    return found.select(F.col("k").alias(key), F.col("base"), added(train(found)).alias("added"))
 
 
 def _text(spans: Column) -> Column:
@@ -236,18 +270,21 @@ def report(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text:
 def redact(spark: SparkSession, documents: DataFrame, text: str = "text") -> DataFrame:
     """The documents with every span, base or added, replaced by <kind> in the text column.
 
-    Overlapping spans become one mark, that of the first. Other columns and rows stay as they are; null texts stay
-    null. Two scans: one counts vote patterns for the classifier, the other rewrites.
+    Overlapping spans become one mark, that of the first. Other columns, whatever their names, and rows stay as they are;
+    null texts stay null. Texts are scanned once: documents and their candidates are written to the shared folder, the
+    classifier is trained from these, and rewriting reads them.
     """
     prepare(spark)
-    accepted = train(with_candidates(documents.select(F.col(text).alias("t")), "t"))
-    found = with_candidates(documents, text).withColumn("__spans", F.array_sort(F.transform(F.concat("__base", added(accepted)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))))
-    t = F.col(text)
+    whole = documents.select(F.struct(*documents.columns).alias("document"), F.col(text).alias("t"))
+    found = Scratch(spark, "redact").write(with_candidates(whole), "spans")
+    spans = F.array_sort(F.transform(F.concat("base", added(train(found))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    found = found.select("document", F.col(f"document.`{text}`").alias("t"), spans.alias("spans"))
+    t = F.col("t")
 
     def step(s: Column, x: Column) -> Column:
         mark = F.concat(s["out"], F.substring(t, s["at"] + 1, x["start"] - s["at"]), F.lit("<"), x["kind"], F.lit(">"))
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] < s["at"], s["out"]).otherwise(mark).alias("out"))
 
-    rewritten = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(t, s["at"] + 1, F.length(t))))
-    new = F.when((F.size("__spans") > 0) & t.isNotNull(), rewritten).otherwise(t)
-    return found.select(*(new.alias(c) if c == text else F.col(c) for c in documents.columns))
+    rewritten = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(t, s["at"] + 1, F.length(t))))
+    new = F.when((F.size("spans") > 0) & t.isNotNull(), rewritten).otherwise(t)
+    return found.select(*(new.alias(c) if c == text else F.col(f"document.`{c}`").alias(c) for c in documents.columns))

@@ -145,12 +145,16 @@ def test_decontamination(spark, docs):
     items = [(1, data[3][1]), (2, "the ing"), (10, data[-1][1][:300]), (3, None), (4, "..."), (5, data[3][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert rows(decontaminate.contamination(spark, df, bench)) == brute.contamination([d[:2] for d in data], items)
-    assert rows(decontaminate.contamination(spark, df, bench, broadcast_rows=0)) == brute.contamination([d[:2] for d in data], items)
+    assert rows(decontaminate.contamination(spark, df, bench, broadcast_bytes=0)) == brute.contamination([d[:2] for d in data], items)
     assert rows(decontaminate.contamination(spark, df, bench.limit(0))) == brute.contamination([d[:2] for d in data], [])
     clean = decontaminate.clean_documents(spark, df, bench)
     assert clean.columns == df.columns
     assert {r.doc_id for r in clean.collect()} == {d for d, x in brute.contamination([d[:2] for d in data], items).items() if not x[-1]}
     assert decontaminate.contamination(spark, df.limit(0), bench).collect() == []
+    odd = spark.createDataFrame([(1, items[1][1], 7), (1, items[1][1], 7), (None, items[1][1], 8), (1, "far away", 9), (None, None, 9)], "doc_id long, text string, __row int")
+    got = sorted(decontaminate.contamination(spark, odd, bench).collect(), key=str)
+    assert [(r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in got] == [(1, 2, 0, False), (1, 2, 2, True), (1, 2, 2, True), (None, 0, 0, False), (None, 2, 2, True)]
+    assert sorted(r["__row"] for r in decontaminate.clean_documents(spark, odd, bench).collect()) == [9, 9]
 
 
 def test_tokens(spark, docs):
@@ -202,13 +206,22 @@ def test_personal_data(spark):
     red = {r.doc_id: r.text for r in pii.redact(spark, df).collect()}
     assert red[5] == "é😀 <email>" and red[9] is None and red[1].startswith("<ip> 999.1.1.1 <ip>.<ip> ")
     assert pii.report(spark, df.limit(0)).collect() == []
+    clash = spark.createDataFrame([(1, "x a@b.co", 5, "p", "q"), (1, "x a@b.co", 6, "p", "q")], "doc_id long, text string, __email int, base string, t string")
+    assert sorted(map(tuple, pii.redact(spark, clash).collect())) == [(1, "x <email>", 5, "p", "q"), (1, "x <email>", 6, "p", "q")]
+
+
+def test_span_classifier_learns_shape():
+    good, bad = "-nmhdwyn", "xnmldddy"
+    weights = pii.fit_classifier([("ssn", good, 0.97, 40), ("ssn", bad, 0.04, 60), ("iban", bad, 0.1, 5)])
+    z = lambda k, s: sum(weights.get(x, 0.0) for x in pii.features(k, s))
+    assert z("ssn", good) > 0 > z("ssn", bad) and z("iban", good) > z("iban", bad)
 
 
 def test_labelers_learn_reliability():
     patterns = [("ssn", "+0+0+", 50), ("ssn", "-0-0-", 50), ("ssn", "+0-0+", 3), ("ssn", "00000", 4)]
     post = pii.fit_labelers(patterns)
     assert post["ssn", "+0+0+"] > 0.9 > 0.1 > post["ssn", "-0-0-"]
-    assert pii.fit_labelers([]) == {} and pii.fit_classifier([], {}) == {}
+    assert pii.fit_labelers([]) == {} and pii.fit_classifier([]) == {}
 
 
 def test_vectors(spark):
@@ -231,6 +244,36 @@ def test_archives(spark):
     assert warc.round_trip(spark, df.limit(0)).collect() == []
 
 
+def test_archives_are_bounded_and_named_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 2000)
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", -1)
+    data = [(i, "u", ("same" if i % 3 == 0 else f"{i}") * 100) for i in range(40)] + [(None, "u", "same" * 100), (None, "v", "lone"), (39, "u", "same" * 100), (7, "w", "another")]
+    warc.archive_pages(spark, spark.createDataFrame(data, "page_id long, url string, html string").repartition(2), str(tmp_path / "w"))
+    found = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    whole = {r.record_id for r in found if r.record_type == "response"}
+    assert all(r.refers_to_id in whole and r.refers_to_page == 39 for r in found if r.record_type == "revisit") and len(found) == len(data)
+    assert len({r.record_id for r in found}) == len(data) - 1  # (39, u, same) is there twice
+    assert len(list((tmp_path / "w").rglob("part-*"))) >= 4
+
+
+def test_convert_a_folder_of_archives(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "in").mkdir()
+    body = b"HTTP/1.0 200 OK\r\n\r\n\xff\xfe bytes"
+    records = [warc.ArcRecord("http://a/", "1.2.3.4", "20010203040506", "text/html", body), warc.ArcRecord("dns:x", "0.0.0.0", "2001", "text/dns", b"1.1.1.1")]
+    whole = warc.write_arc(records, "n.arc", 2)
+    for name, raw in (("a.arc", whole), ("b.arc.gz", gzip.compress(warc.write_arc(records, "n.arc", 1))), ("cut.arc", whole[:-20]), ("none.arc", b"hello")):
+        (tmp_path / "in" / name).write_bytes(raw)
+    got = {r.source.rsplit("/", 1)[1]: r for r in warc.convert_archives(spark, str(tmp_path / "in"), str(tmp_path / "out")).collect()}
+    assert {k: (r.records, r.problem is None) for k, r in got.items()} == {"a.arc": (3, True), "b.arc.gz": (3, True), "cut.arc": (2, False), "none.arc": (0, False)}
+    assert sorted(x.name for x in (tmp_path / "out").iterdir()) == ["a.warc.gz", "b.warc.gz", "cut.warc.gz"]
+    info, page, dns = list(warc.read_warc((tmp_path / "out" / "a.warc.gz").read_bytes()))
+    assert page.body == body and page.headers["WARC-Date"] == "2001-02-03T04:05:06Z" and dns.headers["WARC-Type"] == "resource" and info.headers["WARC-Type"] == "warcinfo"
+    back = warc.read_archives(spark, str(tmp_path / "out")).where("url = 'http://a/'").collect()
+    assert len(back) == 3 and {r.payload_digest for r in back} == {warc.digest(b"\xff\xfe bytes")}
+
+
 def test_legacy_archives():
     body = b"HTTP/1.0 200 OK\r\nA: b\r\n\r\npay\nload"
     for version in (1, 2):

@@ -33,6 +33,9 @@ def test_toxicity_held_out(spark):
     assert not got[1000].is_toxic and not got[1001].is_toxic and not got[1002].is_toxic
     clean = toxicity.clean_documents(spark, docs, labels)
     assert clean.columns == docs.columns and {1000, 1001, 1002} <= {r.doc_id for r in clean.collect()}
+    assert {r.score for r in clean.where("doc_id < 1000").collect()} == {"clash"}
+    twice = docs.union(docs.where("doc_id IN (150, 152)"))
+    assert sum(r.doc_id in (150, 152) for r in toxicity.scores(spark, twice, labels).collect()) == 4
     assert toxicity.scores(spark, docs.limit(0), labels).collect() == []
     assert not any(r.is_toxic for r in toxicity.scores(spark, docs, labels.limit(0)).collect())
 
@@ -51,6 +54,19 @@ def test_no_words_no_model():
     assert toxicity.train([(Counter(a=1), 0)]).weights == {}
 
 
+def test_grades_come_from_labels_or_from_other_folds():
+    graded = [(Counter(a=1), 0), (Counter(b=1), 1), (Counter(c=1), 2)]
+    assert toxicity.grades_of(graded).tolist() == [0, 1, 2]
+    r = random.Random(3)
+    mild, severe = (lambda: Counter({"bad": 1, **{f"w{r.randrange(500)}": 1 for _ in range(20)}})), (lambda: Counter({"bad": 9, **{f"w{r.randrange(500)}": 1 for _ in range(5)}}))
+    rows = [(mild(), 1) for _ in range(60)] + [(severe(), 1) for _ in range(60)] + [(Counter({f"w{r.randrange(500)}": 1 for _ in range(20)}), 0) for _ in range(200)]
+    got = toxicity.grades_of(rows)
+    assert set(got[:60]) == {1} and set(got[60:120]) == {2} and set(got[120:]) == {0}
+    # a word of one document alone can't grade that document
+    alone = [(Counter({"only": 50}), 1), *rows]
+    assert toxicity.grades_of(alone)[0] == 1
+
+
 def test_secrets_held_out_and_spans(spark):
     forest = secrets.train()
     held = secrets.labelled_findings(300, seed=77)

@@ -41,7 +41,12 @@ def test_empty_nulls_and_repeats(spark):
     assert [(r.doc_id, r.component_id, r.kept) for r in got] == [(1, 1, True), (1, 1, True), (2, 2, True), (None, 1, False)]
     kept = minhash.keep_one(spark, odd, shingle=2)
     assert kept.columns == odd.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 2, None]
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 2]
+    a, b = "a b c d e f", "u v w x y z"
+    repeated = spark.createDataFrame([(0, b, "p", "q"), (1, a, "p", "q"), (1, b, "p", "q"), (None, b, "p", "q"), (None, "lone text here", "p", "q"), (None, None, "p", "q"), (None, "", "p", "q")], "doc_id long, text string, __kept string, row string")
+    got = minhash.keep_one(spark, repeated, shingle=2)
+    assert got.columns == repeated.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(0, b), (1, a), (None, "lone text here"), (None, None), (None, "")], key=str)
 
 
 def test_signature_is_consistent():
