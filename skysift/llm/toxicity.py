@@ -3,8 +3,9 @@
 P(grade <= k) = sigmoid(cut_k - x.w): one weight vector shared by all thresholds, with ordered cut points. Features are
 the presence of words that the labelled sample ties to toxicity far beyond chance. The result is the expected grade.
 
-Labels carry a verdict only, 0 or 1; grades split the toxic class by its number of distinct associated features:
-0 clean, 1 mildly toxic (up to the toxic class's median), 2 severely toxic.
+Labels above 1 are grades as they stand. Where labels carry a verdict only, 0 or 1, toxic documents are graded by
+cross-fitting: the sample is dealt into FOLDS, and a document's evidence is the share of its words that the other folds
+tie to toxicity. 0 clean, 1 mildly toxic (evidence up to the toxic class's median), 2 severely toxic.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skysift.llm._common import prepare
 
 #: Labelled documents of either class that are fitted at most, words kept, least chi-square of a word, grades.
 SAMPLE, WORDS, CHI_SQUARE, GRADES = 2000, 4000, 40.0, 3
+#: Folds of the grading.
+FOLDS = 4
 #: Lengths of word beginnings that are features.
 PREFIXES = (4, 5, 6)
 #: Expected grade from which a document is rejected.
@@ -69,14 +73,14 @@ class OrdinalModel:
 
 
 def select_words(rows: list[tuple[Counter, int]], size: int = WORDS, least: float = CHI_SQUARE) -> list[str]:
-    """Words whose presence and the toxic label depend on each other: chi-square with a bar that chance doesn't reach."""
-    toxic = sum(y for _, y in rows)
+    """Words whose presence and toxicity (a grade above 0) depend on each other: chi-square with a bar that chance doesn't reach."""
+    toxic = sum(y > 0 for _, y in rows)
     clean = len(rows) - toxic
     if not toxic or not clean:
         return []
     seen = [Counter(), Counter()]
     for words, y in rows:
-        seen[y].update(words.keys())
+        seen[y > 0].update(words.keys())
     scored = []
     for w in seen[1]:
         a, b = seen[1][w], seen[0][w]
@@ -88,13 +92,20 @@ def select_words(rows: list[tuple[Counter, int]], size: int = WORDS, least: floa
     return [w for _, w in sorted(scored)[:size]]
 
 
-def grades_of(rows: list[tuple[Counter, int]], words: list[str]) -> np.ndarray:
-    """Severity grades: 0 for clean, 1 or 2 for toxic by the number of distinct selected features."""
-    chosen = set(words)
-    hits = np.array([len(chosen & c.keys()) for c, _ in rows])
-    toxic = np.array([y for _, y in rows], bool)
-    middle = np.median(hits[toxic]) if toxic.any() else 0.0
-    return np.where(toxic, np.where(hits > middle, 2, 1), 0)
+def grades_of(rows: list[tuple[Counter, int]]) -> np.ndarray:
+    """Severity grades: those of the labels if any is above 1, else 0 for clean and 1 or 2 for toxic by cross-fitted evidence."""
+    y = np.array([y for _, y in rows])
+    if y.max(initial=0) > 1:
+        return np.minimum(y, GRADES - 1)
+    share = np.zeros(len(rows))
+    for fold in range(FOLDS):
+        # a fold's own words take no part in choosing what its documents are judged by
+        chosen = set(select_words([r for i, r in enumerate(rows) if i % FOLDS != fold], least=CHI_SQUARE * (1 - 1 / FOLDS)))
+        for i in range(fold, len(rows), FOLDS):
+            words = rows[i][0]
+            share[i] = sum(n for w, n in words.items() if w in chosen) / max(1, sum(words.values()))
+    middle = np.median(share[y > 0]) if (y > 0).any() else 0.0
+    return np.where(y > 0, np.where(share > middle, 2, 1), 0)
 
 
 def fit(presence: np.ndarray, grades: np.ndarray, n_grades: int = GRADES, rounds: int = 800, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
@@ -128,12 +139,12 @@ def fit(presence: np.ndarray, grades: np.ndarray, n_grades: int = GRADES, rounds
 
 
 def train(rows: list[tuple[Counter, int]]) -> OrdinalModel:
-    """The model of (word counts, toxic 0 or 1) rows. With one class only there is nothing to learn: all is clean."""
+    """The model of (word counts, label) rows, label 0 for clean. With one class only there is nothing to learn: all is clean."""
     rows = [(features(c), y) for c, y in rows]
     words = select_words(rows)
     if not words:
         return OrdinalModel({}, [40.0] * (GRADES - 1))
-    grades = grades_of(rows, words)
+    grades = grades_of(rows)
     at = {w: i for i, w in enumerate(words)}
     presence = np.zeros((len(rows), len(words)))
     for i, (c, _) in enumerate(rows):
@@ -145,8 +156,8 @@ def train(rows: list[tuple[Counter, int]]) -> OrdinalModel:
 def labelled_sample(documents: DataFrame, labels: DataFrame, size: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "toxic") -> list[tuple[Counter, int]]:
     """At most `size` labelled documents of either class, chosen by a hash of their keys, as word counts on the driver."""
     out = []
-    known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)").groupBy("k").agg(F.max("y").alias("y"))
-    chosen = known.where("y = 1").orderBy(F.xxhash64("k"), "k").limit(size).union(known.where("y = 0").orderBy(F.xxhash64("k"), "k").limit(size))
+    known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(f"k IS NOT NULL AND y BETWEEN 0 AND {GRADES - 1}").groupBy("k").agg(F.max("y").alias("y"))
+    chosen = known.where("y > 0").orderBy(F.xxhash64("k"), "k").limit(size).union(known.where("y = 0").orderBy(F.xxhash64("k"), "k").limit(size))
     # 2 * size short rows: their number is the bound on what is broadcast
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
 
@@ -161,38 +172,39 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, size: int = SAMPLE,
 
 
 def scores(spark: SparkSession, documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", keep: bool = False) -> DataFrame:
-    """Rows (key, n_words, score, expected_severity, grade, toxic), one for each document row; with keep, after all columns of documents.
+    """Rows (key, n_words, score, expected_severity, grade, is_toxic), one for each document row.
 
-    A null, empty or wordless text has severity of the intercept alone. Labels that are null, neither 0 nor 1, or of
-    no document are ignored; a key labelled both ways counts as toxic. Without both classes nothing is toxic.
-    Training reads at most SAMPLE documents of either class; every document is scored, on its whole text.
+    With keep, the first column is instead `document`, a struct of all columns of documents, so no name can clash.
+    A null, empty or wordless text has severity of the intercept alone. Labels that are null, no grade, or of no document
+    are ignored; a key labelled more than once counts by its highest label. Documents of a repeated key, or repeated rows,
+    each train and are each scored. Without both classes nothing is toxic. Training reads at most SAMPLE documents of
+    either class; every document is scored, on its whole text. An empty table gives an empty one.
     """
     prepare(spark)
     model = train(labelled_sample(documents, labels, key=key, text=text, label=label))
     shared = spark.sparkContext.broadcast(model)  # WORDS words at most
-    extra = ["n_words", "score", "expected_severity", "grade", "is_toxic"]
-    source = documents.select(*([F.col(c) for c in documents.columns if c not in extra] if keep else [F.col(key)]), F.col(text).alias("__t"))
-    names = [c for c in source.columns if c != "__t"]
+    first = F.struct(*documents.columns).alias("document") if keep else F.col(key).alias("k")
+    source = documents.select(first, F.col(text).alias("t"))
+    lead = source.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            words = [tokens(t) for t in b.column(len(names)).to_pylist()]
+            words = [tokens(t) for t in b.column(1).to_pylist()]
             score = np.array([m.score(w) for w in words], float)
             expected = m.expected(score) if len(score) else score
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[: len(names)], pa.array([len(w) for w in words], pa.int64()), pa.array(score), pa.array(expected), pa.array(np.rint(expected).astype(np.int32)), pa.array(expected >= REJECT)],
-                names=[*names, *extra],
+                [b.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array(score), pa.array(expected), pa.array(np.rint(expected).astype(np.int32)), pa.array(expected >= REJECT)],
+                names=[lead, "n_words", "score", "expected_severity", "grade", "is_toxic"],
             )
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType(list(source.select(names).schema))
-    for name, kind in zip(extra, (T.LongType(), T.DoubleType(), T.DoubleType(), T.IntegerType(), T.BooleanType()), strict=True):
+    schema = T.StructType([source.schema[0]])
+    for name, kind in (("n_words", T.LongType()), ("score", T.DoubleType()), ("expected_severity", T.DoubleType()), ("grade", T.IntegerType()), ("is_toxic", T.BooleanType())):
         schema = schema.add(name, kind)
-    return source.mapInArrow(run, schema)
+    out = source.mapInArrow(run, schema)
+    return out if keep else out.withColumnRenamed("k", key)
 
 
 def clean_documents(spark: SparkSession, documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents below the rejection bar, with their columns. One map-side pass after training."""
-    return scores(spark, documents, labels, keep=True, **options).where("NOT is_toxic").select(documents.columns)
+    """The documents below the rejection bar, with their columns as they were. One map-side pass after training."""
+    return scores(spark, documents, labels, keep=True, **options).where("NOT is_toxic").select("document.*")

@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
+#: Bytes of payload in one archive file before the next begins, and of the table of repeated payloads that is broadcast.
+FILE_BYTES, BROADCAST_BYTES, SALTS = 32 << 20, 32 << 20, 16
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 
@@ -205,49 +208,108 @@ def _page_record(page: int | None, url: str | None, html: str | None) -> ArcReco
     return ArcRecord(url or "-", "0.0.0.0", "20000101000000", "text/html", head + payload, {"Result-code": "200"})
 
 
-def page_identity(page: int | None) -> str:
-    return record_id("page", "" if page is None else page)
+def page_identity(page: int | None, url: str | None, payload_digest: str) -> str:
+    return record_id("page", "" if page is None else page, url or "-", payload_digest)
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """Write pages as WARC files (gzip) under folder.
+    """Write pages as WARC files (gzip) under folder, one subfolder a file.
 
     Each batch is first laid out as a legacy ARC archive, of either version in turn, and converted record by record.
     Of pages with equal payloads the one with the largest key is stored whole, the others revisit it; a null key is
     stored whole only if no other page has that payload. Repeated rows with that largest key are all stored whole.
+    Records are named by key, URL and payload, so repeated and null keys have names of their own; wholly equal rows
+    have equal records. A file ends with the record that brings its payloads to FILE_BYTES.
+
+    Payloads aren't moved to find equal ones: digests are grouped, and the groups of two or more are broadcast if small,
+    else joined with the pages of each dealt over SALTS parts, so that a payload of a third of all pages is no one's task.
     """
     prepare(spark)
     rows = pages.select(F.col(key).alias("page"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    rows = rows.withColumn("h", F.sha1("html")).withColumn("z", F.octet_length("html"))
-    first = rows.groupBy(F.col("h").alias("gh"), F.col("z").alias("gz")).agg(F.max("page").alias("original"))
-    joined = rows.join(first, (F.col("h") == F.col("gh")) & (F.col("z") == F.col("gz"))).select("page", "url", "html", "original")
+    hashed = lambda df: df.withColumn("h", F.sha1("html")).withColumn("z", F.octet_length("html"))
+    narrow = hashed(rows).select("page", "url", "h", "z")
+    again = narrow.groupBy(F.col("h").alias("gh"), F.col("z").alias("gz")).agg(F.max(F.struct("page", "url")).alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = Scratch(spark, "warc-again").write(again, "groups")
+    same = (F.col("h") == F.col("gh")) & (F.col("z") == F.col("gz"))
+    size = again.agg(F.sum(F.octet_length("original.url") + 80)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        joined = hashed(rows).join(F.broadcast(again), same, "left")
+    else:
+        spread = again.withColumn("gs", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = hashed(rows).withColumn("s", F.pmod(F.xxhash64("page", "url"), F.lit(SALTS)).cast("int")).join(spread, same & (F.col("s") == F.col("gs")), "left")
+    joined = joined.select("page", "url", "html", F.col("gh").isNotNull().alias("many"), F.col("original.page").alias("to_page"), F.col("original.url").alias("to_url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, file, size = TaskContext.get().partitionId(), 0, 0
         for n, b in enumerate(batches):
-            page, links, texts, original = (c.to_pylist() for c in b.columns)
+            page, links, texts, many, to_page, to_url = (c.to_pylist() for c in b.columns)
             version = 1 + n % 2
-            name = f"batch-{page[0]}-{n}.arc"
+            name = f"part-{part}-batch-{n}.arc"
             arc = write_arc(map(_page_record, page, links, texts), name, version)
-            out = []
+            out, files = [], []
             for k, r in enumerate(read_arc(arc)):
                 if k == 0:
-                    identity, other = record_id("archive", name), None
+                    record = convert(r, record_id("archive", name))
+                else:
+                    p, found = page[k - 1], digest(texts[k - 1].encode())
+                    revisit = many[k - 1] and p != to_page[k - 1]
+                    record = convert(r, page_identity(p, links[k - 1], found), page_identity(to_page[k - 1], to_url[k - 1], found) if revisit else None)
+                    if revisit:
+                        record.headers["X-Refers-To-Page-Id"] = str(to_page[k - 1])
+                out.append(record.text())
+                files.append(part * 1_000_000 + file)
+                size += len(record.body)
+                if size >= FILE_BYTES:
+                    file, size = file + 1, 0
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(files, pa.int64())], names=["value", "file"])
+
+    joined.mapInArrow(run, "value string, file long").write.mode("overwrite").partitionBy("file").option("lineSep", END).option("compression", "gzip").text(folder)
+
+
+def convert_archives(spark: SparkSession, source: str, target: str, pattern: str = "*.arc*") -> DataFrame:
+    """Convert a folder of ARC files (plain or gzip, either version) to WARC files of the same names in target.
+
+    Rows (source, target, records, problem), one for each file. Each record becomes a gzip member. A damaged file gives
+    the records before the damage and says what was wrong; one that is no archive gives no file. Bytes are copied as
+    they are, whatever their encoding. An ARC file is read whole, so it may not exceed 2 GB. Files are written by their
+    task under a name of its own and then moved, so a task that runs twice does no harm. target must be a path or URI
+    that all executors can write to.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(source).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(target) if "://" in target or target.startswith("file:") else (fs.LocalFileSystem(), target)
+        system.create_dir(root, recursive=True)
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                name = re.sub(r"\.arc(\.gz)?$", "", path.rsplit("/", 1)[-1]) + ".warc.gz"
+                mine, n, problem = f"{root}/.{name}-{TaskContext.get().taskAttemptId()}", 0, None
+                with system.open_output_stream(mine, compression=None) as out:
+                    try:
+                        for r in read_arc(content.as_buffer().to_pybytes()):
+                            out.write(gzip.compress(convert(r, record_id(name, n)).encode(), 6, mtime=0))
+                            n += 1
+                    except (BadArchive, OSError, EOFError) as e:
+                        problem = str(e)
+                if n:
+                    system.move(mine, f"{root}/{name}")
                 else:
-                    p, o = page[k - 1], original[k - 1]
-                    identity, other = page_identity(p), None if p == o else page_identity(o)
-                out.append(convert(r, identity, other).text())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                    system.delete_file(mine)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f"{target}/{name}" if n else None], pa.string()), pa.array([n], pa.int64()), pa.array([problem], pa.string())], names=["source", "target", "records", "problem"])
 
-    joined.mapInArrow(run, "value string").write.mode("overwrite").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 5000).text(folder)
+    # written before it is returned: reading the rows twice converts nothing twice
+    return Scratch(spark, "arc").write(files.mapInArrow(run, "source string, target string, records long, problem string"), "report")
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows (record_id, record_type, url, date, page_id, payload_bytes, payload_digest, refers_to_id) of the WARC files in a folder.
+    """Rows (record_id, record_type, url, date, page_id, payload_bytes, payload_digest, refers_to_id, refers_to_page) of the WARC files in a folder.
 
     Digests and lengths of whole records are computed from what was read; those of revisits are the declared ones.
     A whole record whose declared digest differs from its payload's raises.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!._]*").option("recursiveFileLookup", True).load(folder).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -266,16 +328,16 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                         if found != declared:
                             raise BadArchive(f"{h['WARC-Record-ID']}: payload digest {found}, declared {declared}")
                     page = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", head)
-                    rows.append((h["WARC-Record-ID"], h["WARC-Type"], h["WARC-Target-URI"], h["WARC-Date"], int(page[1]) if page else None, size, found, h.get("WARC-Refers-To")))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["record_id", "record_type", "url", "date", "page_id", "payload_bytes", "payload_digest", "refers_to_id"])
+                    rows.append((h["WARC-Record-ID"], h["WARC-Type"], h["WARC-Target-URI"], h["WARC-Date"], int(page[1]) if page else None, size, found, h.get("WARC-Refers-To"), None if (to := h.get("X-Refers-To-Page-Id")) is None else int(to)))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["record_id", "record_type", "url", "date", "page_id", "payload_bytes", "payload_digest", "refers_to_id", "refers_to_page"])
 
-    return files.mapInArrow(run, "record_id string, record_type string, url string, date string, page_id long, payload_bytes long, payload_digest string, refers_to_id string")
+    return files.mapInArrow(run, "record_id string, record_type string, url string, date string, page_id long, payload_bytes long, payload_digest string, refers_to_id string, refers_to_page long")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Write pages as archives into the shared folder, read them back: rows (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
-    folder = f"{Scratch(spark, 'warc').root}/pages"
-    archive_pages(spark, pages, folder)
-    found = read_archives(spark, folder)
-    whole = found.where("record_type <> 'revisit' AND page_id IS NOT NULL").groupBy(F.col("record_id").alias("to_id")).agg(F.max("page_id").alias("refers_to"))
-    return found.join(whole, F.col("refers_to_id") == F.col("to_id"), "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    scratch = Scratch(spark, "warc")
+    archive_pages(spark, pages, f"{scratch.root}/pages")
+    scratch.names.append("pages")
+    found = read_archives(spark, f"{scratch.root}/pages")
+    return scratch.keep(found.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to")))
