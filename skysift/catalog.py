@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.operators import alerts, correlate, detect, reports, schemas, stix
+from skysift.operators import alerts, correlate, detect, outputs, reports, schemas, stix
 from skysift.plans import emit, pipelines, rules
 from skysift.sources import formats
 
@@ -494,6 +494,124 @@ def graph_expand(spark, sf_dir):
     return stix.expand(n.union(s), spark.createDataFrame([("r0",)], "node string"), 2, ["in"])
 
 
+# --- more matchers, conditions, transformations and formats ------------------------------------------------------------
+_utf16 = lambda encoding: lambda df: df.withColumn("enc", F.base64(F.encode(F.concat(F.col("event_type"), F.lit("-x")), encoding)))
+detects("det_wide", "events", rule({"enc|wide|base64": "error-x"}), "event_type = 'error'", _utf16("UTF-16LE"))
+detects("det_utf16be", "events", rule({"enc|utf16be|base64": "click-x"}), "event_type = 'click'", _utf16("UTF-16BE"))
+detects("det_wide_offset", "events", rule({"enc|wide|base64offset|contains": "rror"}), "event_type = 'error'", _utf16("UTF-16LE"))
+detects("det_minute", "events", rule({"ts|minute": 30}), "date_part('minute', ts) = 30")
+detects("det_day", "events", rule({"ts|day": 5}), "date_part('day', ts) = 5")
+detects("det_year", "orders", rule({"o_orderdate|year": 1995}), "date_part('year', o_orderdate) = 1995")
+detects("det_condition_list", "events", rule(_three, ["a1 and a2", "b and not a1"], name=""), "lower(event_type) = 'error' AND value > 50 OR user_id < 40 AND NOT lower(event_type) = 'error'")
+detects("det_mixed_lists", "events", rule([{"event_type": ["error", "signup"], "value|gt": 20}, {"user_id": [1, 2, 3], "event_type|contains|all": ["c", "k"]}]), "lower(event_type) IN ('error', 'signup') AND value > 20 OR user_id IN (1, 2, 3) AND contains(event_type, 'c') AND contains(event_type, 'k')")
+detects("det_cidr6", "events", rule({"ip|cidr": "2001:db8::/120"}), "user_id % 300 < 256", lambda df: df.withColumn("ip", F.concat(F.lit("2001:db8::"), F.lower(F.hex(F.col("user_id") % 300)))))
+piped("pipe_prefix", {"type": "error"}, [{"type": "field_name_prefix", "prefix": "event_"}], "event_type = 'error'")
+piped("pipe_suffix", {"event": "error"}, [{"type": "field_name_suffix", "suffix": "_type"}], "event_type = 'error'")
+piped("pipe_prefix_mapping", {"evt.type": "error"}, [{"type": "field_name_prefix_mapping", "mapping": {"evt.": "event_"}}], "event_type = 'error'")
+piped("pipe_name_function", {"EventType": "error"}, [{"type": "field_name_transform", "transform_func": "snake_case"}], "event_type = 'error'")
+piped("pipe_set_value", {"user_id|lt": 1}, [{"type": "set_value", "value": 25}], "user_id < 25")
+piped("pipe_convert", {"user_id": "7"}, [{"type": "convert_type", "target_type": "num"}], "user_id = 7")
+piped("pipe_case", {"event_type|cased": "ERROR"}, [{"type": "case", "method": "lower"}], "event_type = 'error'")
+piped("pipe_nested_steps", {"Kind": "error", "user|lt": 50}, [{"type": "nest", "items": [{"type": "field_name_mapping", "mapping": {"Kind": "event_type"}}, {"type": "field_name_suffix", "suffix": "_id", "field_name_conditions": [{"type": "include_fields", "fields": ["user"]}]}]}], "event_type = 'error' AND user_id < 50")
+piped("pipe_logsource", {"event_type": "error"}, [{"type": "change_logsource", "category": "net"}, {"type": "add_condition", "conditions": {"user_id|lt": 30}, "rule_conditions": [{"type": "logsource", "category": "net"}]}], "event_type = 'error' AND user_id < 30")
+piped("pipe_wildcards", {"event_type|expand": "%any%rror"}, [{"type": "wildcard_placeholders"}], "event_type LIKE '%rror'")
+piped("pipe_negated_condition", {"event_type": "error"}, [{"type": "add_condition", "conditions": {"user_id|lt": 30}, "negated": True}], "event_type = 'error' AND NOT user_id < 30")
+piped("pipe_regex_step", {"event_type": "error"}, [{"type": "regex"}, {"type": "set_state", "key": "k", "val": 1}, {"type": "set_custom_attribute", "attribute": "a", "value": "b"}], "event_type = 'error'")
+
+
+@query("parse_syslog_merged", "SELECT event_id, 'h' || user_id AS hostname, event_type AS kind, CASE WHEN event_id % 2 = 0 THEN 'second' ELSE 'only' END AS q, CASE WHEN event_id % 3 = 0 THEN CAST(user_id AS BIGINT) END AS u, CASE WHEN event_id % 3 = 0 THEN 'h' || user_id END AS merged FROM events")
+def parse_syslog_merged(spark, sf_dir):
+    df = table(spark, sf_dir, "events")
+    repeated = F.when(F.col("event_id") % 2 == 0, ' q="first" q="second"').otherwise(' q="only"')
+    body = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"u": '), F.col("user_id"), F.lit("}"))).otherwise("plain")
+    line = F.concat(F.lit("<34>1 - h"), F.col("user_id"), F.lit(' a - - [s kind="'), F.col("event_type"), F.lit('"'), repeated, F.lit("] "), body)
+    s = formats.syslog(lines(df, line)).select("event_id", "syslog.*")
+    return s.select("event_id", "hostname", F.col("sd")["s.kind"].alias("kind"), F.col("sd")["s.q"].alias("q"), F.try_variant_get("event", "$.u", "long").alias("u"), F.try_variant_get("event", "$.syslog_hostname", "string").alias("merged"))
+
+
+@query("parse_otlp", "SELECT event_id, 'svc' || user_id AS service, event_type AS severity, CAST(event_id AS VARCHAR) AS body, '[{\"intValue\":\"1\"}]' AS listed, CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END AS flag, CAST(1700000000 + event_id AS BIGINT) AS ts FROM events")
+def parse_otlp(spark, sf_dir):
+    df = table(spark, sf_dir, "events")
+    record = F.concat(F.lit('{"timeUnixNano": "'), (F.col("event_id") + 1700000000).cast("string"), F.lit('000000007", "severityText": "'), F.col("event_type"), F.lit('", "body": {"intValue": "'), F.col("event_id"), F.lit('"}, "attributes": [{"key": "l", "value": {"arrayValue": {"values": [{"intValue": "1"}]}}}, {"key": "f", "value": {"boolValue": '), F.when(F.col("event_id") % 2 == 0, "true").otherwise("false"), F.lit("}}]}"))
+    text = F.concat(F.lit('{"resourceLogs": [{"resource": {"attributes": [{"key": "service", "value": {"stringValue": "svc'), F.col("user_id"), F.lit('"}}]}, "scopeLogs": [{"scope": {"name": "n"}, "logRecords": ['), record, F.lit("]}]}]}"))
+    rows = formats.otlp(df.select(F.parse_json(text).alias("event")))
+    return rows.select(F.col("body").cast("long").alias("event_id"), F.col("resource")["service"].alias("service"), "severity", "body", F.col("attributes")["l"].alias("listed"), F.col("attributes")["f"].alias("flag"), "ts")
+
+
+@query("parse_envelope", "SELECT event_id, CAST(unnest([user_id, event_id]) AS BIGINT) AS n FROM events")
+def parse_envelope(spark, sf_dir):
+    text = F.concat(F.lit('{"records": [{"n": '), F.col("user_id"), F.lit('}, {"n": '), F.col("event_id"), F.lit("}]}"))
+    df = table(spark, sf_dir, "events").select("event_id", F.parse_json(text).alias("event"))
+    return formats.envelope(df, "event", "$.records").select("event_id", F.try_variant_get("event", "$.n", "long").alias("n"))
+
+
+@query("fields_observed_deep", "SELECT unnest(CASE WHEN event_id % 2 = 0 THEN ['a.b.c', 'l.x', 'k'] ELSE ['a.b.c', 'k'] END) AS field, count(*) AS n FROM events GROUP BY 1")
+def fields_observed_deep(spark, sf_dir):
+    text = F.concat(F.lit('{"a": {"b": {"c": 1}}, "k": null'), F.when(F.col("event_id") % 2 == 0, ', "l": [{"x": 1}, {"x": 2}]').otherwise(""), F.lit("}"))
+    return schemas.observe(table(spark, sf_dir, "events").select(text.alias("e")), "e")
+
+
+@query("entity_graph", "WITH RECURSIVE c AS (SELECT DISTINCT o_custkey AS k FROM orders), e AS (SELECT x.k AS a, y.k AS b FROM c x JOIN c y ON x.k // 2 = y.k // 2 OR (x.k % 16 <> 15 AND y.k % 16 <> 15 AND (x.k + 1) // 2 = (y.k + 1) // 2)), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), m AS (SELECT a, min(o_orderkey) AS incident FROM r JOIN orders ON b = o_custkey GROUP BY a) SELECT o_orderkey, incident FROM orders JOIN m ON a = o_custkey")
+def entity_graph(spark, sf_dir):
+    half = lambda c: F.floor(c / 2).cast("string")
+    key = F.col("o_custkey")
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("x"), half(key)).alias("low"), F.when(key % 16 != 15, F.concat(F.lit("y"), half(key + 1))).alias("high"))
+    return alerts.entity_incidents(df, "o_orderkey", ["low", "high"])
+
+
+@query("stix_paths", "SELECT event_id AS id FROM events WHERE user_id > 30 AND event_type = 'error' OR user_id = 5")
+def stix_paths(spark, sf_dir):
+    df = _observed(spark, sf_dir).withColumn("pair", F.array("name", F.col("user_id").cast("string"))).withColumn("meta", F.create_map(F.lit("a.b"), "user_id"))
+    p = "[action:pair[0] = 'error' AND action:meta.'a.b' > 30 OR action:pair[*] = '5']"
+    return stix.bindings(p, df).select(F.get("ids", F.lit(0)).alias("id"))
+
+
+@query("stix_references", "SELECT event_id AS id FROM events JOIN customer ON user_id = c_custkey WHERE c_mktsegment = 'BUILDING' AND event_type = 'purchase'")
+def stix_references(spark, sf_dir):
+    people = table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), "c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
+    df = _observed(spark, sf_dir).withColumn("actor_ref", F.concat(F.lit("u"), "user_id"))
+    return stix.bindings("[action:actor_ref.segment = 'BUILDING' AND action:name = 'purchase']", df, objects=people).select(F.get("ids", F.lit(0)).alias("id"))
+
+
+@query("stix_start_stop", f"WITH {_o} SELECT id FROM o WHERE name = 'error' AND t >= epoch(TIMESTAMP '2024-01-05') AND t < epoch(TIMESTAMP '2024-01-20')")
+def stix_start_stop(spark, sf_dir):
+    p = "[action:name = 'error'] START t'2024-01-05T00:00:00Z' STOP t'2024-01-20T00:00:00Z'"
+    return stix.bindings(p, _observed(spark, sf_dir)).select(F.get("ids", F.lit(0)).alias("id"))
+
+
+@query("stix_and_or", f"WITH {_o} SELECT DISTINCT least(a.id, b.id) AS x, greatest(a.id, b.id) AS y FROM o a JOIN o b ON a.user_id = b.user_id AND a.id <> b.id WHERE a.name = 'error' AND a.value > 60 AND b.name = 'signup' AND b.value > 60 UNION SELECT id, NULL FROM o WHERE name = 'click' AND value > 190")
+def stix_and_or(spark, sf_dir):
+    p = "[action:name = 'error' AND action:value > 60] AND [action:name = 'signup' AND action:value > 60] OR [action:name = 'click' AND action:value > 190]"
+    return stix.bindings(p, _observed(spark, sf_dir), ["user_id"]).select(F.get("ids", F.lit(0)).alias("x"), F.get("ids", F.lit(1)).alias("y"))
+
+
+@query("visibility", "WITH n AS (SELECT * FROM (VALUES ('t1', 'error'), ('t1', 'click'), ('t2', 'nothing'), ('t2', 'view'), ('t3', 'never')) AS v(technique, source)) SELECT technique, count(s) AS seen, count(*) AS needed, count(s) / count(*) AS score FROM n LEFT JOIN (SELECT DISTINCT event_type AS s FROM events) ON source = s GROUP BY technique")
+def visibility(spark, sf_dir):
+    needs = spark.createDataFrame([("t1", "error"), ("t1", "click"), ("t2", "nothing"), ("t2", "view"), ("t3", "never")], "technique string, source string")
+    return reports.visibility(table(spark, sf_dir, "events"), "event_type", needs)
+
+
+@query("ndjson", "SELECT '{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"' || CASE WHEN event_id % 2 = 0 THEN ',\"odd\":1' ELSE '' END || '}' AS value FROM events")
+def ndjson(spark, sf_dir):
+    return outputs.ndjson(table(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("event_id") % 2 == 0, 1).alias("odd")))
+
+
+@query("rule_draft", "WITH e AS (SELECT * FROM events WHERE event_type = 'error') SELECT 'event_type' AS field, 'error' AS value, count(*) = (SELECT count(*) FROM e) AS whole FROM e")
+def rule_draft(spark, sf_dir):
+    df = table(spark, sf_dir, "events")
+    found = reports.draft(df.where("event_type = 'error'"), df, ["event_type", "user_id", "props"])["selection"]
+    matched = detect.evaluate(rules.load(rule(found)), df, keep=["event_type"])
+    said = spark.createDataFrame(list(found.items()), "field string, value string")
+    return said.crossJoin(matched.agg(F.count_if(F.col("event_type") == "error").alias("n"))).join(df.where("event_type = 'error'").agg(F.count("*").alias("all"))).select("field", "value", (F.col("n") == F.col("all")).alias("whole"))
+
+
+@query("rule_tune", "SELECT 'kind' AS field, 'odd' AS value, count(*) FILTER (WHERE user_id % 7 = 3) / count(*) AS removes FROM events WHERE event_type = 'error' AND (user_id % 7 = 3 OR user_id = 8)")
+def rule_tune(spark, sf_dir):
+    df = table(spark, sf_dir, "events").where("event_type = 'error'").withColumn("kind", F.when(F.col("user_id") % 7 == 3, "odd").otherwise("even"))
+    found = reports.tune(df.where("kind = 'odd' OR user_id = 8"), df.where("kind = 'even' AND user_id <> 8"), ["kind", "event_type"])
+    return spark.createDataFrame([(f, v, found["removes"]) for f, v in found["filter"].items()], "field string, value string, removes double")
+
+
 # --- rules as SQL text ----------------------------------------------------------------------------------------------
 def emitted(name: str, text: str, where: str | None = None, sql: str | None = None, grouped: bool = False) -> None:
     """A query that runs the engine's own SQL text over a view of events."""

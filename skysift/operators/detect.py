@@ -71,14 +71,19 @@ def evaluate(rules: RuleSet, df: DataFrame, route: bool = False, keep: list[str]
         raise BadRule("two rules share a key")
     keep = df.columns if keep is None else keep
     meta = lambda r: [F.lit(r.key).alias("rule_key"), F.lit(r.title).alias("rule_title"), F.lit(r.id).cast("string").alias("rule_id"), F.lit(r.level).cast("string").alias("level"), F.array(*map(F.lit, r.tags)).cast("array<string>").alias("tags")]
-    fired = []
-    for k in range(0, len(ready), CHUNK):
-        part = [F.when(matches(r, df, route), F.struct(*meta(r), *([selections(r, df).alias("matched_selections")] if detail else []))) for r in ready[k : k + CHUNK]]
-        fired.append(F.array_compact(F.array(*part)))
-    if not fired:
+    if not ready:
         raise BadRule("no rules")
-    hits = fired[0] if len(fired) == 1 else F.concat(*fired)
     if len(ready) == 1:
         return df.where(matches(ready[0], df, route)).select(*keep, *meta(ready[0]), *([selections(ready[0], df).alias("matched_selections")] if detail else []))
+    # rules are numbers until they have fired: building their descriptions for each event costs more than the matching
+    number = lambda k, r: F.struct(F.lit(k).alias("rule"), selections(r, df).alias("matched_selections")) if detail else F.lit(k)
+    fired = []
+    for k in range(0, len(ready), CHUNK):
+        fired.append(F.array_compact(F.array(*(F.when(matches(r, df, route), number(k + i, r)) for i, r in enumerate(ready[k : k + CHUNK])))))
+    hits = fired[0] if len(fired) == 1 else F.concat(*fired)
     # outer: explode would make the optimizer evaluate every rule a second time in an inferred filter
-    return df.select(*keep, F.explode_outer(hits).alias("__hit")).where("__hit IS NOT NULL").select(*keep, "__hit.*")
+    found = df.select(*keep, F.explode_outer(hits).alias("__hit")).where("__hit IS NOT NULL")
+    of = F.col("__hit.rule") if detail else F.col("__hit")
+    described = F.get(F.array(*(F.struct(*meta(r)) for r in ready)), of).alias("__rule")
+    more = [F.col("__hit.matched_selections").alias("matched_selections")] if detail else []
+    return found.select(*keep, described, *more).select(*keep, "__rule.*", *(["matched_selections"] if detail else []))

@@ -6,13 +6,19 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skysift.functions.fields import Resolver, number, text
 from skysift.operators.matchers import COMPARE, sure
 
 
+#: Distinct shapes met at a time by discovery; characters of a value that may mark a schema.
+LEADERS, MARKER = 500, 64
+
+
 @dataclass
 class Signature:
     """A schema's name and predicates: dicts with one of present, absent, any_of, equals, matches, compare, in, same, not, any, all, has_any."""
@@ -91,15 +97,39 @@ def route(df: DataFrame, signatures: list[Signature]) -> DataFrame:
     return named
 
 
-def leaf_paths(event: Column) -> Column:
-    """Paths of the scalar leaves of a JSON text column, two levels deep objects included."""
-    top = F.coalesce(F.json_object_keys(event), F.array().cast("array<string>"))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _walk(texts: pd.Series) -> pd.Series:
+    import json
+
+    def paths(text: str | None) -> list[str] | None:
+        try:
+            top = json.loads(text) if text is not None else None
+        except ValueError:
+            return None
+        found, todo = {}, [("", top)] if isinstance(top, (dict, list)) else []
+        while todo:
+            path, value = todo.pop()
+            if isinstance(value, dict):
+                todo += [(f"{path}.{k}" if path else k, v) for k, v in value.items()]
+            elif isinstance(value, list):
+                # members of an array stand at the array's own path; an empty or scalar array is a leaf
+                todo += [(path, v) for v in value if isinstance(v, (dict, list))]
+                if path and not all(isinstance(v, (dict, list)) for v in value) or path and not value:
+                    found[path] = True
+            elif path:
+                found[path] = True
+        return sorted(found)
+
+    return texts.map(paths)
 
-    def inner(k: Column) -> Column:
-        sub = F.json_object_keys(F.call_function("get_json_object", event, F.concat(F.lit("$."), k)))
-        return F.when(sub.isNotNull(), F.transform(sub, lambda s: F.concat(k, F.lit("."), s))).otherwise(F.array(k))
 
-    return F.flatten(F.transform(top, inner))
+def leaf_paths(event: Column) -> Column:
+    """Distinct dotted paths of the scalar leaves of a JSON text column, at any depth, arrays entered.
+
+    An Arrow UDF: built-in functions list one level of keys, and a walk of unknown depth can't be unrolled. Null or
+    invalid text has none.
+    """
+    return F.coalesce(_walk(event), F.array().cast("array<string>"))
 
 
 def observe(df: DataFrame, event: str) -> DataFrame:
@@ -121,25 +151,40 @@ def shapes(df: DataFrame, event: str) -> DataFrame:
     return df.groupBy(F.array_sort(leaf_paths(F.col(event))).alias("shape")).agg(F.count("*").alias("n"))
 
 
-def discover(df: DataFrame, event: str, similar: float = 0.6, core: float = 0.9, support: int = 3, top: int = 20) -> list[Signature]:
-    """Signatures for unknown shapes: the most frequent shapes, clustered greedily by Jaccard similarity, on the driver.
+def discover(df: DataFrame, event: str, similar: float = 0.6, core: float = 0.9, support: int = 3, top: int = 20, markers: int = 8) -> list[Signature]:
+    """Signatures for unknown shapes, clustered by Jaccard similarity of their leaf paths.
 
-    Shapes are counted over all events; the clustering reads the 2,000 most frequent ones.
+    Leaders are chosen greedily, most frequent shape first: a shape unlike all leaders so far leads a cluster. Distinct
+    shapes are met in bounded blocks in that order; a block keeps only what no earlier leader takes, so every shape of the
+    data is placed, and the driver holds leaders and one block. A cluster's core fields are those of `core` of its
+    events; a core field with at most `markers` distinct short values becomes an `in` predicate, and comes first; others are `present`. Three predicates at most; clusters of fewer than `support` events are left out.
     """
-    rows = shapes(df, event).orderBy(F.desc("n"), "shape").limit(2000).collect()
-    groups: list[tuple[set, list]] = []
-    for r in rows:
-        s = set(r["shape"])
-        for lead, members in groups:
-            if s and len(s & lead) / len(s | lead) >= similar:
-                members.append((s, r["n"]))
-                break
-        else:
-            groups.append((s, [(s, r["n"])]))
+    counted = shapes(df, event).where(F.size("shape") > 0)
+    leaders: list[list[str]] = []
+    near = lambda lead, shape: F.size(F.array_intersect(lead, shape)) >= similar * F.size(F.array_union(lead, shape))
+    known = lambda: F.array(*(F.array(*map(F.lit, x)) for x in leaders))
+    rest = counted
+    while block := rest.orderBy(F.desc("n"), "shape").limit(LEADERS).collect():
+        for r in block:
+            s = set(r["shape"])
+            if not any(len(s & set(x)) >= similar * len(s | set(x)) for x in leaders):
+                leaders.append(sorted(s))
+        rest = counted.where(~F.exists(known(), lambda x: near(x, F.col("shape"))))
+    if not leaders:
+        return []
+    of = lambda shape: F.array_position(F.transform(known(), lambda x: near(x, shape)), True)
+    placed = df.select(F.col(event).alias("event"), F.array_sort(leaf_paths(F.col(event))).alias("shape")).where(F.size("shape") > 0).withColumn("lead", of(F.col("shape")))
+    sizes = placed.groupBy("lead").agg(F.count("*").alias("total")).where(F.col("total") >= support).orderBy(F.desc("total"), "lead").limit(top).collect()
+    big = placed.where(F.col("lead").isin([r["lead"] for r in sizes]))
+    value = F.call_function("get_json_object", F.col("event"), F.concat(F.lit("$."), F.col("field")))
+    values = big.select("lead", "event", F.explode("shape").alias("field")).groupBy("lead", "field", value.alias("value")).agg(F.count("*").alias("n"))
+    fields = values.groupBy("lead", "field").agg(F.sum("n").alias("n"), F.count("value").alias("distinct"), F.count_if(F.col("value").isNull()).alias("odd"), F.slice(F.sort_array(F.collect_set(F.when(F.length("value") <= MARKER, F.col("value")))), 1, markers + 1).alias("some")).collect()
     out = []
-    for k, (_, members) in enumerate(sorted(groups, key=lambda g: -sum(n for _, n in g[1]))[:top]):
-        total = sum(n for _, n in members)
-        fields = sorted(f for f in set().union(*(s for s, _ in members)) if sum(n for s, n in members if f in s) >= core * total)
-        if total >= support and fields:
-            out.append(Signature(f"discovered_{k}", [{"present": f} for f in fields[:3]]))
+    for k, r in enumerate(sizes):
+        mine = [f for f in fields if f["lead"] == r["lead"] and f["n"] >= core * r["total"]]
+        marked = lambda f: 1 <= f["distinct"] <= markers and not f["odd"] and len(f["some"]) == f["distinct"]
+        mine.sort(key=lambda f: (not marked(f), f["distinct"] if marked(f) else 0, f["field"]))
+        predicates = [{"in": {"field": f["field"], "value": list(f["some"])}} if marked(f) else {"present": f["field"]} for f in mine[:3]]
+        if predicates:
+            out.append(Signature(f"discovered_{k}", predicates))
     return out

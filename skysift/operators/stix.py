@@ -20,7 +20,7 @@ from skysift.functions.literals import quote
 from skysift.operators.matchers import _any, _cidr, sure
 
 UNITS = {"SECOND": 1, "MINUTE": 60, "HOUR": 3600, "DAY": 86400, "WEEK": 604800, "MONTH": 2592000, "YEAR": 31536000}
-_token = re.compile(r"\s*(t?'(?:[^'\\]|\\.)*'|h'[^']*'|b'[^']*'|!=|<=|>=|<>|[\[\]()=<>,]|[^\s\[\]()=<>!,']+(?:'[^']*'[^\s\[\]()=<>!,']*)*)")
+_token = re.compile(r"\s*(t?'(?:[^'\\]|\\.)*'|h'[^']*'|b'[^']*'|!=|<=|>=|<>|[\[\]()=<>,]|[^\s\[\]()=<>!,']+(?:(?:'[^']*'|\[(?:\*|\d+)\])[^\s\[\]()=<>!,']*)*)")
 
 
 class BadPattern(ValueError):
@@ -141,9 +141,58 @@ def _like(pattern: str) -> str:
     return r"(?s)^" + "".join(".*" if c == "%" else "." if c == "_" else quote(c) for c in pattern) + r"\z"
 
 
+_ref_step = re.compile(r"^([A-Za-z0-9_-]+_refs?)(?:\[(?:\*|\d+)\])?\.")
+
+
+def _find(rest: str, r: Resolver) -> Field | None:
+    """A property path: names, quoted dictionary keys, indexes, `[*]`; `x_ref.y` and `x_refs[*].y` look into the
+    column that dereferenced() has joined, falling back on what the observation itself nests there."""
+    plain = re.sub(r"\[\*\]", "", rest)
+    if m := _ref_step.match(rest):
+        joined = r.find(f"{DEREF}{m[1]}" + re.sub(r"^[^.\[]+", "", plain).replace("'", ""))
+        if joined is not None:
+            return joined
+    if "'" not in plain:
+        return r.find(plain)
+    # a quoted key may hold dots: its own step, with dots escaped
+    return r.find(re.sub(r"'([^']*)'", lambda k: k[1].replace(".", "\\."), plain))
+
+
+#: Prefix of the columns that hold referenced objects.
+DEREF = "ref:"
+
+
+def references(n: Node) -> set[str]:
+    """Names of the reference properties that a pattern looks through."""
+    if n.kind in ("test", "exists"):
+        m = _ref_step.match(n.parts[0].partition(":")[2])
+        return {m[1]} if m else set()
+    return {x for p in n.parts if isinstance(p, Node) for x in references(p)}
+
+
+def dereferenced(observations: DataFrame, objects: DataFrame, names: set[str], id_column: str, object_id: str = "id") -> DataFrame:
+    """Adds for each x_ref the referenced object as a struct, for each x_refs an array of them; one equi-join a name.
+
+    Of several objects with one id that with the greatest JSON text counts. A dangling reference is null, or no member.
+    """
+    whole = F.struct(*objects.columns)
+    target = objects.groupBy(F.col(object_id).alias("__to")).agg(F.max_by(whole, F.to_json(whole)).alias("__object"))
+    for name in sorted(names & set(observations.columns)):
+        column = f"{DEREF}{name}"
+        if name.endswith("_refs"):
+            each = observations.select(F.col(id_column).alias("__of"), F.posexplode(name).alias("__at", "__ref"))
+            found = each.join(target, F.col("__ref") == F.col("__to")).groupBy("__of").agg(F.collect_list(F.struct("__at", "__object")).alias("__all"))
+            # in the order of the references; positions differ, so objects needn't be comparable
+            found = found.select("__of", F.transform(F.array_sort("__all", lambda x, y: x["__at"] - y["__at"]), lambda x: x["__object"]).alias(column))
+            observations = observations.join(found, F.col(id_column) == F.col("__of"), "left").drop("__of")
+        else:
+            observations = observations.join(target.withColumnRenamed("__object", column), F.col(name) == F.col("__to"), "left").drop("__to")
+    return observations
+
+
 def _test(path: str, op: str, value: Any, r: Resolver, kind: str | None) -> Column:
     name, _, rest = path.partition(":")
-    f = r.find(re.sub(r"\[\*\]", "", rest).replace("'", ""))
+    f = _find(rest, r)
     if f is None:
         return F.lit(False)
 
@@ -178,18 +227,22 @@ def _matches(n: Node, r: Resolver) -> Column:
         return (F.col("type") == inner) & ~_matches(n.parts[0], r)
     if n.kind == "exists":
         name, _, rest = n.parts[0].partition(":")
-        f = r.find(rest)
+        f = _find(rest, r)
         return F.lit(False) if f is None else (F.col("type") == name) & f.column.isNotNull()
     return reduce((lambda a, b: a & b) if n.kind == "and" else (lambda a, b: a | b), [_matches(p, r) for p in n.parts])
 
 
-def bindings(pattern: str | Node, observations: DataFrame, by: list[str] = (), id_column: str = "obs_id", ts: str = "ts") -> DataFrame:
+def bindings(pattern: str | Node, observations: DataFrame, by: list[str] = (), id_column: str = "obs_id", ts: str = "ts", objects: DataFrame | None = None) -> DataFrame:
     """Rows (by..., ids array, first, last): each way the pattern is met by distinct observations.
 
     `by` partitions the observations (a host, say), which turns the joins into equi-joins; without it a compound
-    pattern is a join over all matching observations.
+    pattern is a join over all matching observations. Paths through references (`from_ref.value`) look into `objects`,
+    rows with a column `id`; the observations themselves, if they have one, unless told otherwise.
     """
     tree = parse(pattern) if isinstance(pattern, str) else pattern
+    source = objects if objects is not None else observations if "id" in observations.columns else None
+    if source is not None and (names := references(tree)):
+        observations = dereferenced(observations, source, names, id_column)
     r = Resolver(observations.schema)
     keys = list(by)
 

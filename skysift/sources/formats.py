@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _3164 = r"^<(\d{1,3})>([A-Z][a-z]{2}\s+\d{1,2} \d{2}:\d{2}:\d{2}) (\S+) ([^\s:\[]+)(?:\[(\w+)\])?: ?([\s\S]*)$"
-_5424 = r"^<(\d{1,3})>1 (\S+) (\S+) (\S+) (\S+) (\S+) (-|(?:\[(?:[^\]\\]|\\.)*\])+) ?([\s\S]*)$"
-_LOGFMT = r'([^\s="]+)(?:=(?:"((?:[^"\\]|\\.)*)"|([^\s"]*)))?'
+_5424 = r'^<(\d{1,3})>1 (\S+) (\S+) (\S+) (\S+) (\S+) (-|(?:\[(?:[^\]\\"]|\\.|"(?:[^"\\]|\\.)*+")*+\])+) ?([\s\S]*)$'
+_LOGFMT = r'([^\s="]+)(=)?(?:(?<==)(?:"((?:[^"\\]|\\.)*+)"|([^\s"]*)))?'
 _CEF = r"CEF:(\d+)\|((?:\\.|[^|\\])*)\|((?:\\.|[^|\\])*)\|((?:\\.|[^|\\])*)\|((?:\\.|[^|\\])*)\|((?:\\.|[^|\\])*)\|((?:\\.|[^|\\])*)\|([\s\S]*)$"
 
 
@@ -15,55 +15,74 @@ def _nil(c: Column) -> Column:
     return F.when((c != "-") & (c != ""), c)
 
 
+def _last_wins(keys: Column, values: Column) -> Column:
+    """A map of two arrays in which keys may repeat; the last value of a key counts."""
+    distinct = F.array_distinct(keys)
+    last = F.transform(distinct, lambda k: F.element_at(values, -F.array_position(F.reverse(keys), k).cast("int")))
+    return F.when(F.size(distinct) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(F.map_from_arrays(distinct, last))
+
+
 def json(df: DataFrame, line: str = "value") -> DataFrame:
     """Adds `event`, a variant; null where the line is no JSON (those are the dead letters)."""
     return df.withColumn("event", F.try_parse_json(F.col(line)))
 
 
-def syslog(df: DataFrame, line: str = "value") -> DataFrame:
-    """RFC 5424 and 3164 lines -> struct `syslog`(facility, severity, timestamp, hostname, appname, procid, msgid, sd, message, event).
+def syslog(df: DataFrame, line: str = "value", offset: str = "+00:00", now: Column | None = None) -> DataFrame:
+    """RFC 5424 and 3164 lines -> struct `syslog`(facility, severity, timestamp, hostname, appname, procid, msgid, sd, message, ts, event).
 
-    sd maps `<sd-id>.<param>` to its value; a JSON message is parsed into event. Null where the line is neither.
+    sd maps `<sd-id>.<param>` to its value; a repeated parameter's last value counts. ts is in epoch seconds: RFC 3164
+    names neither year nor zone, so `offset` is its zone, and its year that of `now` (a timestamp; the current time), or
+    the year before if that would lie more than a day ahead (December read in January). A JSON object as message is
+    parsed into event, together with the header as syslog_hostname, syslog_appname, syslog_procid, syslog_msgid,
+    syslog_facility and syslog_severity. Null where the line is neither.
     """
     raw = F.regexp_replace(F.col(line), "^\ufeff", "")
     new, old = raw.rlike(_5424), raw.rlike(_3164)
     g = lambda p, i: F.regexp_extract(raw, p, i)
     pri = F.when(new, g(_5424, 1)).when(old, g(_3164, 1)).try_cast("int")
     sd_raw = F.when(new, g(_5424, 7))
-    elements = F.regexp_extract_all(sd_raw, F.lit(r"\[((?:[^\]\\]|\\.)*)\]"), F.lit(1))
+    elements = F.regexp_extract_all(sd_raw, F.lit(r'\[((?:[^\]\\"]|\\.|"(?:[^"\\]|\\.)*+")*+)\]'), F.lit(1))
+    pattern = r'(\S+?)="((?:[^"\\]|\\.)*)"'
+
+    def names(e: Column) -> Column:
+        of = F.regexp_extract(e, r"^(\S+)", 1)
+        return F.transform(F.regexp_extract_all(e, F.lit(pattern), F.lit(1)), lambda k: F.concat(of, F.lit("."), k))
 
-    def params(e: Column) -> Column:
-        name = F.regexp_extract(e, r"^(\S+)", 1)
-        pattern = r'(\S+?)="((?:[^"\\]|\\.)*)"'
-        keys = F.transform(F.regexp_extract_all(e, F.lit(pattern), F.lit(1)), lambda k: F.concat(name, F.lit("."), k))
-        values = F.transform(F.regexp_extract_all(e, F.lit(pattern), F.lit(2)), lambda v: F.regexp_replace(v, r'\\(["\\\]])', "$1"))
-        return F.arrays_zip(keys.alias("key"), values.alias("value"))
+    def values(e: Column) -> Column:
+        return F.transform(F.regexp_extract_all(e, F.lit(pattern), F.lit(2)), lambda v: F.regexp_replace(v, r'\\(["\\\]])', "$1"))
 
-    sd = F.map_from_entries(F.flatten(F.transform(elements, params)))
+    sd = _last_wins(F.flatten(F.transform(elements, names)), F.flatten(F.transform(elements, values)))
     message = F.when(new, g(_5424, 8)).when(old, g(_3164, 6))
-    fields = F.struct(
-        F.floor(pri / 8).cast("int").alias("facility"), (pri % 8).alias("severity"), F.when(new, _nil(g(_5424, 2))).otherwise(g(_3164, 2)).alias("timestamp"),
-        F.when(new, _nil(g(_5424, 3))).otherwise(g(_3164, 3)).alias("hostname"), F.when(new, _nil(g(_5424, 4))).otherwise(g(_3164, 4)).alias("appname"),
-        F.when(new, _nil(g(_5424, 5))).otherwise(_nil(g(_3164, 5))).alias("procid"), F.when(new, _nil(g(_5424, 6))).alias("msgid"), sd.alias("sd"), message.alias("message"),
-        F.when(F.ltrim(message).startswith("{"), F.try_parse_json(message)).alias("event"), raw.alias("_raw"),
-    )
-    return df.withColumn("syslog", F.when((new | old) & (pri <= 191), fields))
+    now = F.current_timestamp() if now is None else now
+    stamp = F.when(new, _nil(g(_5424, 2))).otherwise(g(_3164, 2))
+    # a leap day has no date in other years, so the year comes before parsing
+    dated = lambda y: F.try_to_timestamp(F.concat(y.cast("string"), F.lit(" "), F.regexp_replace(g(_3164, 2), r"\s+", " "), F.lit(f" {offset}")), F.lit("yyyy MMM d HH:mm:ss xxx"))
+    this = dated(F.year(now))
+    past = F.when(this.isNull() | (this > now + F.expr("INTERVAL 1 DAY")), dated(F.year(now) - 1)).otherwise(this)
+    ts = F.when(new, F.unix_seconds(_nil(g(_5424, 2)).try_cast("timestamp"))).otherwise(F.unix_seconds(past))
+    fields = {
+        "facility": F.floor(pri / 8).cast("int"), "severity": pri % 8, "timestamp": stamp, "hostname": F.when(new, _nil(g(_5424, 3))).otherwise(g(_3164, 3)), "appname": F.when(new, _nil(g(_5424, 4))).otherwise(g(_3164, 4)),
+        "procid": F.when(new, _nil(g(_5424, 5))).otherwise(_nil(g(_3164, 5))), "msgid": F.when(new, _nil(g(_5424, 6))), "sd": sd, "message": message, "ts": ts,
+    }
+    head = F.to_json(F.struct(*(fields[n].alias(f"syslog_{n}") for n in ("facility", "severity", "hostname", "appname", "procid", "msgid"))))
+    body = F.substring(F.ltrim(message), 2, F.length(message))
+    merged = F.when(body.rlike(r"^\s*\}\s*$"), head).otherwise(F.concat(F.left(head, F.length(head) - 1), F.lit(","), body))
+    event = F.when(F.ltrim(message).startswith("{"), F.try_parse_json(merged))
+    return df.withColumn("syslog", F.when((new | old) & (pri <= 191), F.struct(*(c.alias(n) for n, c in fields.items()), event.alias("event"), raw.alias("_raw"))))
 
 
 def logfmt(df: DataFrame, line: str = "value") -> DataFrame:
-    """key=value pairs -> map `logfmt`; a bare key is "true", `k=` is empty; later keys win."""
-    whole = F.regexp_extract_all(F.col(line), F.lit(_LOGFMT), F.lit(0))
-
-    def entry(x: Column) -> Column:
-        key, rest = F.regexp_extract(x, r'^([^\s="]+)', 1), F.regexp_extract(x, r'^[^\s="]+(=[\s\S]*)?$', 1)
-        quoted = F.regexp_replace(F.regexp_extract(rest, r'^="([\s\S]*)"$', 1), r'\\(["\\])', "$1")
-        value = F.when(rest == "", "true").when(rest.startswith('="'), quoted).otherwise(F.substring(rest, 2, 1_000_000))
-        return F.struct(key.alias("key"), value.alias("value"))
-
-    pairs = F.transform(whole, entry)
-    n = F.size(pairs)
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(n - i - 1, F.lit(0))), lambda q: q["key"] == p["key"]))
-    return df.withColumn("logfmt", F.when(n > 0, F.map_from_entries(last)))
+    """key=value pairs -> map `logfmt`; a bare key is "true", `k=` is empty; later keys win. Values are taken whole."""
+    groups = [F.regexp_extract_all(F.col(line), F.lit(_LOGFMT), F.lit(i)).alias(f"p{i}") for i in range(1, 5)]
+    # the matches are a column of their own: inlined, the patterns would run again wherever they are mentioned
+    work = "__pairs"
+    while work in df.columns:
+        work += "_"
+    p = F.col(work)
+    named = F.zip_with(p["p2"], p["p4"], lambda eq, plain: F.when(eq == "", "true").otherwise(plain))
+    values = F.zip_with(named, p["p3"], lambda v, quoted: F.when(quoted != "", F.regexp_replace(quoted, r'\\(["\\])', "$1")).otherwise(v))
+    out = df.withColumn(work, F.struct(*groups)).withColumn(f"{work}v", values)
+    return out.withColumn("logfmt", F.when(F.size(p["p1"]) > 0, _last_wins(p["p1"], F.col(f"{work}v")))).drop(work, f"{work}v")
 
 
 def cef(df: DataFrame, line: str = "value") -> DataFrame:
@@ -75,7 +94,7 @@ def cef(df: DataFrame, line: str = "value") -> DataFrame:
     pattern = r"(?:^|\s)([A-Za-z0-9_.\[\]-]+)=((?:\\.|[^\\=])*?)(?=\s+[A-Za-z0-9_.\[\]-]+=|\s*$)"
     keys = F.regexp_extract_all(ext, F.lit(pattern), F.lit(1))
     values = F.transform(F.regexp_extract_all(ext, F.lit(pattern), F.lit(2)), lambda v: F.regexp_replace(F.regexp_replace(v, r"\\n", "\n"), r"\\([=\\])", "$1"))
-    fields = F.struct(F.regexp_extract(raw, _CEF, 1).try_cast("int").alias("version"), head(2).alias("vendor"), head(3).alias("product"), head(4).alias("device_version"), head(5).alias("signature"), head(6).alias("name"), head(7).alias("severity"), F.map_from_arrays(keys, values).alias("extensions"))
+    fields = F.struct(F.regexp_extract(raw, _CEF, 1).try_cast("int").alias("version"), head(2).alias("vendor"), head(3).alias("product"), head(4).alias("device_version"), head(5).alias("signature"), head(6).alias("name"), head(7).alias("severity"), _last_wins(keys, values).alias("extensions"))
     return df.withColumn("cef", F.when(raw.rlike(_CEF), fields))
 
 
@@ -92,11 +111,13 @@ def kind(line: Column) -> Column:
 def auto(df: DataFrame, line: str = "value") -> DataFrame:
     """Blank lines go; adds `format` and the parsed columns of each format, null for lines of another."""
     out = df.where(F.length(F.trim(F.col(line))) > 0).withColumn("format", kind(F.col(line)))
+    own = "__line"
+    while own in df.columns:
+        own += "_"
     for name, parse in (("json", json), ("syslog", syslog), ("cef", cef), ("logfmt", logfmt)):
-        out = parse(out, line)
-        column = "event" if name == "json" else name
-        out = out.withColumn(column, F.when(F.col("format") == name, F.col(column)))
-    return out
+        # a parser sees the lines of its format only
+        out = parse(out.withColumn(own, F.when(F.col("format") == name, F.col(line))), own)
+    return out.drop(own)
 
 
 def envelope(df: DataFrame, event: str, path: str) -> DataFrame:
@@ -108,15 +129,29 @@ def envelope(df: DataFrame, event: str, path: str) -> DataFrame:
 
 
 def otlp(df: DataFrame, event: str = "event") -> DataFrame:
-    """OTLP log exports (JSON, as variant) -> rows (resource, scope, attributes: maps; severity, body, ts in epoch seconds)."""
+    """OTLP log exports (JSON, as variant) -> rows (resource, scope, attributes: maps; severity, body, ts in epoch seconds, trace_id, span_id).
+
+    Scalar values are text as they stand; bytes their base64; arrays and key-value lists their JSON. The last of
+    repeated attributes counts. ts is the record's time, else the time it was observed.
+    """
     get = lambda c, p, t="variant": F.try_variant_get(c, p, t)
 
+    def value(v: Column) -> Column:
+        plain = [get(v, f"$.{k}Value", "string") for k in ("string", "int", "double", "bool", "bytes")]
+        nested = [F.to_json(get(v, p)) for p in ("$.arrayValue.values", "$.kvlistValue.values")]
+        return F.coalesce(*plain, *nested)
+
     def attributes(c: Column) -> Column:
         pairs = F.coalesce(get(c, "$.attributes", "array<variant>"), F.array().cast("array<variant>"))
-        value = lambda a: F.coalesce(get(a, "$.value.stringValue", "string"), get(a, "$.value.intValue", "string"), get(a, "$.value.doubleValue", "string"), get(a, "$.value.boolValue", "string"))
-        return F.map_from_entries(F.transform(pairs, lambda a: F.struct(get(a, "$.key", "string"), value(a))))
+        pairs = F.filter(pairs, lambda a: get(a, "$.key", "string").isNotNull())
+        return _last_wins(F.transform(pairs, lambda a: get(a, "$.key", "string")), F.transform(pairs, lambda a: value(get(a, "$.value"))))
 
     r = df.select(F.explode_outer(get(F.col(event), "$.resourceLogs", "array<variant>")).alias("r"))
     s = r.select(attributes(get(F.col("r"), "$.resource")).alias("resource"), F.explode_outer(get(F.col("r"), "$.scopeLogs", "array<variant>")).alias("s"))
     rec = s.select("resource", get(F.col("s"), "$.scope.name", "string").alias("scope"), F.explode_outer(get(F.col("s"), "$.logRecords", "array<variant>")).alias("x")).where("x IS NOT NULL")
-    return rec.select("resource", "scope", attributes(F.col("x")).alias("attributes"), get(F.col("x"), "$.severityText", "string").alias("severity"), get(F.col("x"), "$.body.stringValue", "string").alias("body"), F.floor(get(F.col("x"), "$.timeUnixNano", "string").cast("decimal(20,0)") / 1_000_000_000).cast("long").alias("ts"))
+    x = F.col("x")
+    nanos = F.coalesce(F.nullif(get(x, "$.timeUnixNano", "string"), F.lit("0")), get(x, "$.observedTimeUnixNano", "string"))
+    return rec.select(
+        "resource", "scope", attributes(x).alias("attributes"), get(x, "$.severityText", "string").alias("severity"), value(get(x, "$.body")).alias("body"),
+        F.floor(nanos.cast("decimal(20,0)") / 1_000_000_000).cast("long").alias("ts"), get(x, "$.traceId", "string").alias("trace_id"), get(x, "$.spanId", "string").alias("span_id"),
+    )
