@@ -632,6 +632,63 @@ emitted("emit_tumbling", _errors + "\n---\n" + correlation("value_sum", {"gt": 6
 emitted("emit_temporal", "\n---\n".join([_errors, _buys, correlation("temporal", {"gte": 2}, ["errors", "buys"])]), sql=f"WITH {_pair} SELECT user_id, t - t % {SPAN} AS bucket, count(DISTINCT event_type) AS value FROM h GROUP BY ALL HAVING count(DISTINCT event_type) >= 2")
 
 
+emitted("emit_session", _errors + "\n---\n" + correlation("event_count", {"gte": 2}, ["errors"], gap="1d"), sql=f"WITH {_hits}, g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > 86400 THEN 1 ELSE 0 END AS new FROM h), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS sid FROM g) SELECT user_id, min(t) AS first, max(t) AS last, count(*) AS value FROM s GROUP BY user_id, sid HAVING max(t) - min(t) <= {SPAN} AND count(*) >= 2")
+
+
+@query("matched_fields", "SELECT event_id, 'event_type=' || event_type || ',value=' || CAST(value AS VARCHAR) AS found FROM (SELECT event_id, event_type, CAST(floor(value) AS BIGINT) AS value FROM events) WHERE event_type IN ('error', 'signup') AND value > 50")
+def matched_fields(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", "event_type", F.floor("value").alias("value"))
+    rs = rules.load(rule({"event_type": ["error", "signup"], "value|gt": 50}))
+    pairs = F.transform(detect.matched_fields(rs.rules[0], df), lambda x: F.concat_ws("=", x["field"], x["value"]))
+    return df.where(detect.matches(rs.rules[0], df)).select("event_id", F.array_join(pairs, ",").alias("found"))
+
+
+@query("matched_keywords", "SELECT conv_id, turn, concat_ws(',', CASE WHEN contains(lower(text), 'the') OR contains(lower(role), 'the') THEN 'the' END, CASE WHEN contains(lower(text), 'user') OR contains(lower(role), 'user') THEN 'user' END) AS found FROM conversations WHERE contains(lower(text), 'the') OR contains(lower(role), 'the') OR contains(lower(text), 'user') OR contains(lower(role), 'user')")
+def matched_keywords(spark, sf_dir):
+    df = table(spark, sf_dir, "conversations")
+    rs = rules.load(rule(["the", "user"]))
+    found = detect.matched_fields(rs.rules[0], df)
+    return df.where(detect.matches(rs.rules[0], df)).select("conv_id", "turn", F.array_join(F.transform(found, lambda x: x["value"]), ",").alias("found"))
+
+
+@query("corr_full_events", f"WITH {_hits} SELECT a.event_id, sum(b.value) AS total, count(*) AS n FROM h a JOIN h b ON a.user_id = b.user_id AND b.t >= a.t - {SPAN} AND (b.t < a.t OR b.t = a.t AND b.event_id <= a.event_id) GROUP BY a.event_id HAVING count(*) BETWEEN 2 AND 10")
+def corr_full_events(spark, sf_dir):
+    rs = rules.load(_errors + "\n---\n" + correlation("event_count", {"gte": 2, "lte": 10}, ["errors"]))
+    out = correlate.with_events(rs.correlations[0], correlate.hits(rs, table(spark, sf_dir, "events"), "ts", "event_id"), rs, "event_id", full=True)
+    total = F.aggregate("event_refs", F.lit(0.0), lambda s, x: s + x["event"]["value"])
+    return out.select(F.col("seq").alias("event_id"), total.alias("total"), F.size("event_refs").cast("long").alias("n"))
+
+
+@query("alert_stages", f"{_runs.replace('FROM a)', 'FROM (SELECT * FROM a WHERE NOT (event_type = {q}click{q} AND ts < 1705500000)))'.format(q=chr(39)))}, f AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, run ORDER BY ts, seq) AS i FROM s), k AS (SELECT user_id, ts, seq, event_type, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, seq) >= 172800 THEN 1 ELSE 0 END AS new FROM f WHERE i = 1), m AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS run FROM k) SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n_alerts, count(DISTINCT event_type) AS n_rules FROM m GROUP BY user_id, run")
+def alert_stages(spark, sf_dir):
+    out = alerts.staged(_alerts(spark, sf_dir), silences=[{"match": {"rule_title": "click"}, "end": 1705500000}], dedup_keys=["user_id", "rule_title"], group_keys=["user_id"], resolve=172800)
+    return out.select("user_id", "first_seen", "last_seen", "n_alerts", "n_rules")
+
+
+@query("dedup_records", f"{_runs}, r AS (SELECT *, row_number() OVER w AS n, min(ts) OVER (PARTITION BY user_id, event_type, run) AS first, lead(ts) OVER w AS later FROM s WINDOW w AS (PARTITION BY user_id, event_type, run ORDER BY ts, seq)), t AS (SELECT *, (ts - first) // 86400 AS turn, lag((ts - first) // 86400) OVER (PARTITION BY user_id, event_type, run ORDER BY ts, seq) AS before FROM r) SELECT user_id, event_type AS rule_title, ts AS at, 'firing' AS kind, n FROM t WHERE n = 1 UNION ALL SELECT user_id, event_type, ts, 'repeat', n FROM t WHERE turn > before UNION ALL SELECT user_id, event_type, ts + 172800, 'resolved', n FROM t WHERE later IS NULL")
+def dedup_records(spark, sf_dir):
+    return alerts.dedup_records(_alerts(spark, sf_dir), ["user_id", "rule_title"], 172800, 86400)
+
+
+@query("field_catalogue", "WITH t AS (SELECT unnest(['errors', 'large', 'small', 'small']) AS rule_key, unnest(['event_type', 'value', 'event_type', 'value']) AS field, unnest(['', 'gt', '', 'lt']) AS modifiers) SELECT field, rule_key, 'detection' AS used_as, modifiers, CASE field WHEN 'value' THEN (SELECT count(value) FROM events) ELSE (SELECT count(event_type) FROM events) END AS seen FROM t")
+def field_catalogue(spark, sf_dir):
+    found = reports.field_catalogue(spark, rules.load(_multi))
+    df = table(spark, sf_dir, "events")
+    seen = df.agg(F.count("value").alias("value"), F.count("event_type").alias("event_type")).unpivot([], ["value", "event_type"], "name", "seen")
+    return found.join(seen, F.col("field") == F.col("name")).drop("name")
+
+
+@query("deliver_dead_letters", "SELECT CAST(event_id AS VARCHAR) AS value, 'ValueError: refused' AS reason, 2 AS attempts FROM events WHERE event_type = 'error'")
+def deliver_dead_letters(spark, sf_dir):
+    def send(batch: list[str]) -> None:
+        if any(x.startswith("e") for x in batch):
+            raise ValueError("refused")
+
+    df = table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "error", F.concat(F.lit("e"), "event_id")).otherwise(F.col("event_id").cast("string")).alias("value"))
+    dead = outputs.deliver(df, send, tries=2, wait=0.0, batch=1)
+    return dead.select(F.substring("value", 2, 20).alias("value"), "reason", "attempts")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bursts of errors of one user: at least two within seven days."""
     text = _errors + "\n---\n" + correlation("event_count", {"gte": 2}, ["errors"], span="7d")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysift.functions.literals import quote
-from skysift.llm._common import components
+from skysift.functions.graph import components
 
 #: Rows up to which a lookup side is broadcast, as counted.
 BROADCAST_ROWS = 100_000
@@ -111,6 +111,40 @@ def dedup(df: DataFrame, keys: list[str], resolve: int, ts: str = "ts", seq: str
     return df.withColumn("__run", run).groupBy(*keys, "__run").agg(F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"), F.count("*").alias("n")).drop("__run")
 
 
+def dedup_records(df: DataFrame, keys: list[str], resolve: int, repeat: int | None = None, ts: str = "ts", seq: str = "seq", until: int | None = None) -> DataFrame:
+    """What deduplication sends: rows (keys, at, kind, n). `firing` for the first alert of a run; `repeat` for the first
+    alert in each later interval of `repeat` seconds since the run began; `resolved` once it has been quiet for `resolve`
+    seconds, unless that lies after `until`. n counts the run's alerts so far."""
+    w = Window.partitionBy(*keys).orderBy(ts, seq)
+    run = F.sum(F.when(F.col(ts) - F.lag(ts).over(w) >= resolve, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    inside = Window.partitionBy(*keys, "__run").orderBy(ts, seq)
+    marked = df.select(*keys, ts, seq).withColumn("__run", run).withColumn("n", F.row_number().over(inside).cast("long")).withColumn("__next", F.lead(ts).over(inside))
+    marked = marked.withColumn("__first", F.min(ts).over(Window.partitionBy(*keys, "__run")))
+    turn = F.floor((F.col(ts) - F.col("__first")) / (repeat or 1))
+    marked = marked.withColumn("__turn", turn).withColumn("__before", F.lag("__turn").over(inside))
+    kinds = [F.when(F.col("n") == 1, F.struct(F.col(ts).alias("at"), F.lit("firing").alias("kind")))]
+    if repeat:
+        kinds.append(F.when(F.col("__turn") > F.col("__before"), F.struct(F.col(ts).alias("at"), F.lit("repeat").alias("kind"))))
+    over = F.col("__next").isNull() & (F.lit(True) if until is None else F.col(ts) + resolve <= until)
+    kinds.append(F.when(over, F.struct((F.col(ts) + resolve).alias("at"), F.lit("resolved").alias("kind"))))
+    return marked.withColumn("__k", F.explode_outer(F.array_compact(F.array(*kinds)))).where("__k IS NOT NULL").select(*keys, "__k.at", "__k.kind", "n")
+
+
+def staged(df: DataFrame, *, inhibitions: list[dict] = (), silences: list[dict] = (), dedup_keys: list[str] = (), group_keys: list[str] = (), resolve: int = 300, ts: str = "ts", seq: str = "seq") -> DataFrame:
+    """The alert stages in their order: inhibit, silence, dedup, group. Stages without settings are left out.
+
+    An inhibition is a dict of source and target (columns), equal (keys) and duration. Deduplication keeps the first alert
+    of each run; grouping gives incidents of what is left.
+    """
+    for x in inhibitions:
+        df = inhibit(df, x["source"], x["target"], x["equal"], x["duration"], ts, seq)
+    df = silence(df, list(silences), ts)
+    if dedup_keys:
+        w = Window.partitionBy(*dedup_keys).orderBy(ts, seq)
+        df = df.withColumn("__gap", F.col(ts) - F.lag(ts).over(w)).where(F.col("__gap").isNull() | (F.col("__gap") >= resolve)).drop("__gap")
+    return incidents(df, list(group_keys), resolve, ts, seq) if group_keys else df
+
+
 def silence(df: DataFrame, silences: list[dict], ts: str = "ts") -> DataFrame:
     """Drops alerts that a silence covers: all its matchers (column -> glob) match and start <= ts < end."""
     tests = [reduce(lambda a, b: a & b, [F.coalesce(_glob(F.col(k).cast("string"), v), F.lit(False)) for k, v in s["match"].items()]) & (F.col(ts) >= s.get("start", 0)) & (F.col(ts) < s.get("end", 2**62)) for s in silences]

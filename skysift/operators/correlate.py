@@ -2,7 +2,7 @@
 
 Hits are ordered by (ts, seq): a hit sees itself and what arrived before, never a later hit of the same second.
 Sums and counts over the trailing closed window [t - span, t] are a running total minus the running total of what has
-left, so they cost O(1) a row. Distinct counts and percentiles gather the window's values. Ordered sequences fold the
+left, so they cost O(1) a row; so do distinct counts. Percentiles gather the window's values. Ordered sequences fold the
 window. Whatever depends on earlier firings (reset) is replayed sequentially for each group.
 """
 
@@ -152,7 +152,13 @@ def aggregated(c: Correlation, df: DataFrame, groups: list[str]) -> DataFrame:
         df = df.withColumn("__s", total(F.sum("number"))).withColumn("__n", total(F.count("number")))
         value = F.when(F.col("__n") > 0, F.col("__s") / F.col("__n")).otherwise(0.0)
     elif c.type == "value_count":
-        value = F.size(F.array_distinct(F.transform(gathered(F.col("distinct")), lambda e: e["x"]))).cast("double")
+        # a value counts from a hit with no earlier one in reach until it has left unreplaced: O(1) a row, nothing gathered
+        same = Window.partitionBy(*part, "distinct").orderBy("ts", "seq")
+        far = lambda gap: gap.isNull() | (gap > c.timespan) if sliding else gap.isNull()
+        here = F.col("distinct").isNotNull()
+        df = df.withColumn("__s", F.when(here & far(F.col("ts") - F.lag("ts").over(same)), 1).otherwise(0))
+        df = df.withColumn("__n", F.when(here & far(F.lead("ts").over(same) - F.col("ts")), 1).otherwise(0))
+        value = (F.sum("__s").over(running) - (F.coalesce(F.sum("__n").over(left), F.lit(0)) if sliding else F.lit(0))).cast("double")
     elif c.type in ("value_percentile", "value_median"):
         df = df.withColumn("__v", F.array_sort(F.transform(gathered(finite), lambda e: e["x"])))
         rank = F.lit((c.percentile if c.type == "value_percentile" else 50.0) / 100) * (F.size("__v") - 1)
@@ -237,19 +243,18 @@ def detections_kept(rules: RuleSet, found: DataFrame) -> DataFrame:
     return found.where(~F.col("rule_key").isin(sorted(hidden))) if hidden else found
 
 
-def with_events(c: Correlation, found: DataFrame, rules: RuleSet, id_field: str, limit: int = 10) -> DataFrame:
-    """Firings of a sliding correlation with event_refs: the last `limit` contributing events (timestamp, id)."""
+def with_events(c: Correlation, found: DataFrame, rules: RuleSet, id_field: str, limit: int = 10, full: bool = False) -> DataFrame:
+    """Firings of a sliding correlation with event_refs: the last `limit` contributing events (timestamp, id), with full
+    also the events themselves (event, a struct of all columns). Only `limit` rows are looked back at."""
     resolver = Resolver(found.schema)
-    df, groups = prepared(c, found.withColumn("__eid", text(resolver.find(id_field))), rules)
-    ids = found.select(F.col("__seq").alias("__s"), text(resolver.find(id_field)).alias("eid")).distinct()
+    known = [x for x in found.columns if not x.startswith("__")]
+    ids = found.select(F.col("__seq").alias("__s"), text(resolver.find(id_field)).alias("eid"), *([F.struct(*known).alias("event")] if full else [])).dropDuplicates(["__s"])
+    df, groups = prepared(c, found, rules)
     df = df.join(ids, F.col("seq") == F.col("__s")).drop("__s")
     part = [F.col(g) for g in groups] or [F.lit(0)]
-    within = Window.partitionBy(*part).orderBy("ts").rangeBetween(-c.timespan, 0)
-    arrived = F.filter(F.array_sort(F.collect_list(F.struct("ts", "seq", "eid")).over(within)), lambda e: (e["ts"] < F.col("ts")) | (e["seq"] <= F.col("seq")))
-    out = aggregated(c, df.withColumn("__refs", arrived), groups)
+    last = Window.partitionBy(*part).orderBy("ts", "seq").rowsBetween(1 - limit, 0)
+    near = F.filter(F.collect_list(F.struct(F.col("ts").alias("timestamp"), F.col("eid").alias("id"), *(["event"] if full else []))).over(last), lambda e: e["timestamp"] >= F.col("ts") - c.timespan)
+    out = aggregated(c, df.withColumn("event_refs", near), groups)
     for k, v in c.predicates:
         out = out.where(OPS[k](F.col("value"), F.lit(v)))
-    refs = F.transform(F.slice(F.col("__refs"), F.greatest(F.size("__refs") - limit + 1, F.lit(1)), limit), lambda e: F.struct(e["ts"].alias("timestamp"), e["eid"].alias("id")))
-    return out.select("ts", "seq", "value", *(F.col(g).alias(n) for g, n in zip(groups, c.group_by, strict=True)), refs.alias("event_refs"))
-
-
+    return out.select("ts", "seq", "value", *(F.col(g).alias(n) for g, n in zip(groups, c.group_by, strict=True)), "event_refs")

@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysift.functions.fields import Resolver, text
-from skysift.operators.matchers import condition, detection, sure
+from skysift.operators.matchers import condition, detection, item, sure
 from skysift.plans import conditions
-from skysift.plans.rules import BadRule, Rule, RuleSet, apply_filters
+from skysift.plans.rules import BadRule, Detection, Item, Rule, RuleSet, apply_filters
 
 CHUNK = 100
+#: Keyword hits reported for an event at most, as the rule language says.
+KEYWORDS = 16
 
 
 def routed(rule: Rule, resolver: Resolver) -> Column | None:
@@ -49,6 +51,29 @@ def selections(rule: Rule, df: DataFrame) -> Column:
     return out
 
 
+def matched_fields(rule: Rule, df: DataFrame) -> Column:
+    """array<struct<field, value>>: of the detections that are true, each named field with its value as text, and up to
+    KEYWORDS keyword hits as (keyword, text). Arrays give the members' JSON."""
+    resolver = Resolver(df.schema)
+    empty = F.array().cast("array<struct<field:string,value:string>>")
+    parts: list[Column] = []
+    for name, d in rule.detections.items():
+        held = sure(detection(d, resolver))
+        for it in _leaves(d):
+            if it.field is None:
+                words = [F.when(held & sure(item(Item(None, it.modifiers, [v], it.quantifier, it.block), resolver)), F.struct(F.lit("keyword").alias("field"), F.lit(str(v)).alias("value"))) for v in it.values]
+                parts.append(F.slice(F.array_compact(F.array(*words)), 1, KEYWORDS))
+            elif (f := resolver.find(it.field)) is not None:
+                value = F.to_json(f.column) if f.is_array else text(f)
+                one = F.struct(F.lit(it.field).alias("field"), value.alias("value"))
+                parts.append(F.when(held & sure(item(it, resolver)), F.array(one)).otherwise(empty))
+    return F.array_distinct(F.concat(empty, *parts))
+
+
+def _leaves(d: Detection) -> list[Item]:
+    return [*d.items, *(i for x in [*d.any_of, *d.named.values()] for i in _leaves(x))]
+
+
 def _mentioned(tree: tuple, names: list[str]) -> set[str]:
     if tree[0] == "name":
         return {tree[1]}

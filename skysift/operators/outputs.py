@@ -5,9 +5,11 @@ from __future__ import annotations
 import csv
 import io
 import json
-from collections.abc import Iterable
+import time
+from collections.abc import Callable, Iterable, Iterator
 from xml.sax.saxutils import quoteattr
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,36 @@ def dead_letters(lines: DataFrame, parsed: str, line: str = "value") -> tuple[Da
     return said.where(F.col(parsed).isNotNull()), said.where(F.col(parsed).isNull()).select(line, F.lit(f"no {parsed}").alias("reason"))
 
 
+def deliver(lines: DataFrame, send: Callable[[list[str]], None], tries: int = 3, wait: float = 0.2, batch: int = 500, line: str = "value") -> DataFrame:
+    """Send text rows in batches from the executors; rows (value, reason, attempts) of what no try delivered: dead letters.
+
+    send(batch) raises if it fails; it is tried again after wait, 2 wait, ... seconds. Delivery is at least once: a task
+    that is run again sends again. Nothing is sent until the result is read or written, so write it, to the dead letters'
+    table; in a stream, from foreachBatch.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            dead = []
+            values = pdf[line].tolist()
+            for at in range(0, len(values), batch):
+                part, reason = values[at : at + batch], None
+                for attempt in range(1, tries + 1):
+                    try:
+                        send(part)
+                        reason = None
+                        break
+                    except Exception as e:
+                        reason = f"{type(e).__name__}: {e}"
+                        if attempt < tries:
+                            time.sleep(wait * 2 ** (attempt - 1))
+                if reason:
+                    dead += [(v, reason, tries) for v in part]
+            yield pd.DataFrame(dead, columns=["value", "reason", "attempts"])
+
+    return lines.select(line).mapInPandas(run, "value string, reason string, attempts int")
+
+
 def shown(df: DataFrame, kind: str = "table", limit: int = 100) -> str:
     """The first `limit` rows as text for a terminal: table, csv, tsv or json."""
     rows = [[x for x in r] for r in df.limit(limit).collect()]

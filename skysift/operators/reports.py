@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysift.operators.detect import evaluate
-from skysift.plans.rules import RuleSet
+from skysift.plans.rules import Detection, RuleSet
 
 
 def fire_counts(rules: RuleSet, df: DataFrame, corpus: str) -> DataFrame:
@@ -100,3 +100,30 @@ def tune(false: DataFrame, true: DataFrame, fields: list[str], least: float = 0.
     if row and row["n"] >= least * total:
         best = {"filter": {row["f"]: row["v"]}, "removes": row["n"] / total}
     return best
+
+
+def field_catalogue(spark: SparkSession, rules: RuleSet) -> DataFrame:
+    """Rows (field, rule_key, used_as, modifiers) of a rule set: fields of detections, of references to other fields, of
+    correlations (group, value, alias) and of the output list. One row for each distinct use."""
+    rows: set[tuple] = set()
+
+    def walk(d: Detection, key: str) -> None:
+        for i in d.items:
+            if i.field is not None:
+                rows.add((i.field, key, "detection", "|".join(i.modifiers)))
+                if "fieldref" in i.modifiers:
+                    rows.update((str(v), key, "reference", "fieldref") for v in i.values)
+            if i.block:
+                walk(i.block, key)
+        for x in [*d.any_of, *d.named.values()]:
+            walk(x, key)
+
+    for r in rules.rules:
+        for d in r.detections.values():
+            walk(d, r.key)
+        rows.update((f, r.key, "output", "") for f in r.fields)
+    for c in rules.correlations:
+        rows.update((g, c.key, "group", "") for g in c.group_by if g not in c.aliases)
+        rows.update((v, c.key, "value", "") for v in c.value_fields)
+        rows.update((f, c.key, "alias", "") for m in c.aliases.values() for f in m.values())
+    return spark.createDataFrame(sorted(rows), "field string, rule_key string, used_as string, modifiers string")

@@ -125,21 +125,29 @@ def correlation(c: Correlation, rules: RuleSet, table: str, ts: str = "ts", grou
     """A correlation as SQL over a table with a timestamp column.
 
     Sliding windows fire for each hit, over the trailing span in whole seconds; equal seconds count together. grouped
-    gives the tumbling form: one row for each group and bucket. temporal counts distinct rules of a bucket.
+    gives the tumbling form: one row for each group and bucket. temporal counts distinct rules of a bucket. Sessions give
+    one row each (first, last, value).
     """
     by = {r.key: r for r in rules.rules} | {r.name: r for r in rules.rules if r.name} | {r.title: r for r in rules.rules}
     used = [by[r] for r in c.rules if r in by]
-    if len(used) != len(c.rules) or c.aliases or c.expression or c.type == "temporal_ordered" or c.window == "session":
+    if len(used) != len(c.rules) or c.aliases or c.expression or c.type == "temporal_ordered":
         raise BadRule(f"no SQL text for correlation {c.key!r}")
     cols = "".join(f", {name(g)}" for g in c.group_by)
     value = name(c.value_fields[0]) if c.value_fields else ""
     hits = " UNION ALL ".join(f"SELECT {literal(r.key)} AS rule_key, unix_seconds(CAST({name(ts)} AS TIMESTAMP)) AS t{cols}{f', {value} AS v' if value else ''} FROM {table} WHERE {predicate(r)}" for r in used)
     keys = [name(g).rpartition(".")[2] for g in c.group_by]
     form: Callable[[str], str] = lambda a: a.format(v="v", p=c.percentile / 100)
-    if grouped or c.window == "tumbling" or c.type in ("temporal", "value_count"):
+    if c.window != "session" and (grouped or c.window == "tumbling" or c.type in ("temporal", "value_count")):
         a = "count(DISTINCT rule_key)" if c.type == "temporal" else "count(DISTINCT v)" if c.type == "value_count" else form(_AGGREGATES[c.type])
         bucket = f"t - pmod(t, {c.timespan})"
         return f"WITH h AS ({hits}) SELECT {', '.join([*keys, f'{bucket} AS bucket', f'{a} AS value'])} FROM h GROUP BY {', '.join([*keys, bucket])} HAVING {_threshold(c, a)}"
+    if c.window == "session":
+        # gaps and islands; a session longer than the span is left out, not split
+        part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+        a = "count(DISTINCT rule_key)" if c.type == "temporal" else "count(DISTINCT v)" if c.type == "value_count" else form(_AGGREGATES[c.type])
+        new = f"CASE WHEN t - lag(t) OVER ({part}ORDER BY t) > {c.gap} THEN 1 ELSE 0 END"
+        sessions = f"g AS (SELECT *, {new} AS new FROM h), s AS (SELECT *, sum(new) OVER ({part}ORDER BY t ROWS UNBOUNDED PRECEDING) AS sid FROM g)"
+        return f"WITH h AS ({hits}), {sessions} SELECT {', '.join([*keys, 'min(t) AS first', 'max(t) AS last', f'{a} AS value'])} FROM s GROUP BY {', '.join([*keys, 'sid'])} HAVING max(t) - min(t) <= {c.timespan} AND {_threshold(c, a)}"
     over = f"({f'PARTITION BY {", ".join(keys)} ' if keys else ''}ORDER BY t RANGE BETWEEN {c.timespan} PRECEDING AND CURRENT ROW)"
     a = f"{form(_AGGREGATES[c.type])} OVER {over}"
     if c.type in ("value_sum", "value_avg"):

@@ -8,3 +8,27 @@ def test_a_long_chain_is_one_incident(spark):
     df = spark.createDataFrame(rows, "id long, host string, user string")
     got = dict(map(tuple, alerts.entity_incidents(df, "id", ["host", "user"]).collect()))
     assert got == {**dict.fromkeys(range(150), 0), 200: 200, 201: 200, 202: 202}
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    import random
+
+    from skysift.functions import graph
+
+    monkeypatch.setattr(graph, "HUB", 3)
+    monkeypatch.setattr(graph, "HUBS", 100)
+    r = random.Random(2)
+    edges = [(0, i) for i in range(1, 40)] + [(100 + i, 101 + i) for i in range(30)] + [(39, 115)] + [(r.randrange(500, 600), r.randrange(500, 600)) for _ in range(60)] + [(7, 7)]
+    up = {n: n for e in edges for n in e}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {n: top(n) for e in edges for n in e if e[0] != e[1]}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []

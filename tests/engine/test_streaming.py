@@ -95,3 +95,22 @@ def test_no_sequence_and_no_group(spark, tmp_path):
     q = engine.correlation(rs.correlations[0], rs, source, "ts").writeStream.format("memory").queryName("lone").option("checkpointLocation", str(tmp_path / "k")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [r.ts for r in spark.sql("SELECT * FROM lone").collect()] == [101]
+
+
+def test_snapshot_introspection_and_import(spark, tmp_path):
+    rs = ruleset("event_count", "sliding", condition={"gte": 3})
+    c = rs.correlations[0]
+    put(tmp_path, 0, [(100, 1, "u", "a", 1.0), (101, 2, "u", "a", 1.0), (102, 3, None, "a", 1.0)])
+    stream(spark, rs, tmp_path, tmp_path / "out")
+    seen = {r.groups[0]: (r.n, r.first, r.last, r.value, r.met) for r in engine.live_windows(spark, str(tmp_path / "checkpoint"), c).collect()}
+    assert seen == {"u": (2, 100, 101, 2.0, False), None: (1, 102, 102, 1.0, False)}
+    engine.snapshot(spark, str(tmp_path / "checkpoint")).write.parquet(str(tmp_path / "export"))
+    other = tmp_path / "other"
+    other.mkdir()
+    put(other, 0, [(110, 4, "u", "a", 1.0), (111, 5, None, "a", 1.0)])
+    source = spark.readStream.schema(EVENTS).json(str(other / "in"))
+    found = engine.correlation(c, rs, source, "ts", "seq", initial=spark.read.parquet(str(tmp_path / "export")))
+    q = found.writeStream.format("parquet").option("path", str(other / "out")).option("checkpointLocation", str(other / "k")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    assert q.exception() is None
+    assert [(r.user, r.ts, r.value) for r in spark.read.parquet(str(other / "out")).collect()] == [("u", 110, 3.0)]
