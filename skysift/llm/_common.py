@@ -1,15 +1,15 @@
-"""Shared plumbing: tables, scratch storage that every executor can read, connected components."""
+"""Shared plumbing: tables, scratch storage that every executor can read, connected components (the engine's)."""
 
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from skysift.functions.graph import components, delete, shared_dir
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "Scratch", "checkpointed", "components", "free_shuffles", "prepare", "shared_dir", "table"]
 
 #: Rows and bytes of one Arrow batch that Python code sees; they bound a worker's memory when rows are long.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
@@ -30,22 +30,6 @@ def prepare(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir).
-
-    One of our own only in local mode, where driver and executors are one process; on a cluster that names none, refuse.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    made = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if made.isDefined():
-        return made.get().rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="skysift-")
-
-
 class Scratch:
     """Intermediate tables in the shared folder. They outlive lost executors; keep() and close() remove them."""
 
@@ -69,7 +53,7 @@ class Scratch:
 
     def remove(self, name: str) -> None:
         """Remove one table; a name that is gone already is no error."""
-        self._delete(f"{self.root}/{name}")
+        delete(self.spark, f"{self.root}/{name}")
         if name in self.names:
             self.names.remove(name)
 
@@ -85,7 +69,7 @@ class Scratch:
     def close(self) -> None:
         """Remove everything, results included."""
         self._drop_tables()
-        self._delete(self.root)
+        delete(self.spark, self.root)
         self.names = []
 
     def _drop_tables(self) -> None:
@@ -93,10 +77,6 @@ class Scratch:
             self.spark.sql(f"DROP TABLE IF EXISTS {known}")
         self.tables = []
 
-    def _delete(self, where: str) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished passes before the next pass writes its own."""
@@ -108,33 +88,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts the lineage; Spark's cleaner removes it when nothing refers to it any more."""
     prepare(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Connected components of the undirected edges (a, b): rows (node, component), component = smallest node.
-
-    Alternates large-star and small-star steps until no edge changes. Each step is two shuffles over the edge table
-    with map-side combined minima; nothing is gathered on the driver but one row of counts.
-    Nodes without an edge do not appear. Self-edges and repeated edges are harmless. An empty table gives an empty one.
-    """
-    e = edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct()
-    e = checkpointed(e)
-    before = None
-    for _ in range(rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = checkpointed(small.select("x.u", "x.v").where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    nodes = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return nodes.union(roots)

@@ -188,13 +188,15 @@ def _counts(double: bool, least: float):
 
 
 def _lists(edges: DataFrame, k: int) -> DataFrame:
-    """Rows (a, own, list): the k best neighbours in the component of a (own) and the k best outside it."""
-    best = edges.repartition("a").groupBy("a", "own", "b").agg(F.max("s").alias("s"))
-    return best.groupBy("a", "own").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), "b"))), 1, k).alias("list"))
+    """Rows (a, own, list): the k best neighbours in the component of a (own) and the k best outside it, each with whether
+    it is new (no edge of the same pair is marked old)."""
+    old = F.col("old") if "old" in edges.columns else F.lit(False)
+    best = edges.repartition("a").groupBy("a", "own", "b").agg(F.max("s").alias("s"), F.max(old).alias("old"))
+    return best.groupBy("a", "own").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), "b", "old"))), 1, k).alias("list"))
 
 
 def _flat(lists: DataFrame) -> DataFrame:
-    return lists.select("a", "own", F.explode("list").alias("x")).select("a", F.col("x.b").alias("b"), "own", (-F.col("x.d")).alias("s"))
+    return lists.select("a", "own", F.explode("list").alias("x")).select("a", F.col("x.b").alias("b"), "own", (-F.col("x.d")).alias("s"), "x.old")
 
 
 def neighbour_lists(spark: SparkSession, vectors: DataFrame, double: bool, scratch: Scratch, orders: range, told: Callable[[dict], None] | None = None, k: int = NEIGHBOURS) -> DataFrame:
@@ -205,7 +207,7 @@ def neighbour_lists(spark: SparkSession, vectors: DataFrame, double: bool, scrat
     for at in orders[::ORDERS]:
         coded = vectors.mapInArrow(_codes(double, range(at, min(at + ORDERS, orders.stop))), "o int, code long, id long, raw binary, label long")
         near = coded.repartitionByRange("o", "code").sortWithinPartitions("o", "code", "id").select("o", "id", "raw", "label")
-        edges = near.mapInArrow(_windows(double, k), EDGE)
+        edges = near.mapInArrow(_windows(double, k), EDGE).withColumn("old", F.lit(False))
         lists = scratch.write(_lists(edges if lists is None else edges.union(_flat(lists)), k), f"{name}_o{at}")
         if at > orders.start:
             scratch.remove(f"{name}_o{at - ORDERS}")
@@ -221,9 +223,10 @@ def neighbour_lists(spark: SparkSession, vectors: DataFrame, double: bool, scrat
         floors = floors.select("id", F.coalesce("f", F.lit(-2.0)).alias("floor"), F.coalesce("g", F.lit(-2.0)).alias("own_floor"), "raw", "label")
         joined = members.join(floors, "id").select("centre", "id", "floor", "own_floor", "raw", "label")
         better = joined.repartition("centre").sortWithinPartitions("centre", "id").mapInArrow(_local_join(double, k), EDGE)
-        new = scratch.write(_lists(flat.union(better), k), f"{name}_r{step}")
-        changed = _flat(new).join(flat, ["a", "b"], "left_anti").count()
-        total = max(1, _flat(new).count())
+        known = flat.withColumn("old", F.lit(True)).union(better.withColumn("old", F.lit(False)))
+        new = scratch.write(_lists(known, k), f"{name}_r{step}")
+        changed, total = new.agg(F.sum(F.size(F.filter("list", lambda x: ~x["old"]))), F.sum(F.size("list"))).first()
+        changed, total = changed or 0, total or 1
         scratch.remove(last)
         free_shuffles(spark)
         lists, last = new, f"{name}_r{step}"
