@@ -67,11 +67,51 @@ def test_grades_come_from_labels_or_from_other_folds():
     assert toxicity.grades_of(alone)[0] == 1
 
 
-def test_secrets_held_out_and_spans(spark):
+def other_findings(n: int, seed: int) -> list:
+    """Held-out findings from another generator than the training one: other services, other carriers, other look-alikes."""
+    import base64
+    import uuid
+
+    r = random.Random(seed)
+    noise = lambda k: bytes(r.randrange(256) for _ in range(k))
+    b64 = lambda k: base64.urlsafe_b64encode(noise(k)).decode().rstrip("=")
+    out = []
+    for k in range(n):
+        good = [
+            ("assigned", b64(21), "export API_KEY="), ("assigned", noise(16).hex(), "config.secret: '"), ("aws_key", "ASIA" + base64.b32encode(noise(10)).decode(), "aws_access_key_id "),
+            ("jwt", f"eyJ{b64(24)}.eyJ{b64(60)}.{b64(32)}", "Authorization: Bearer "), ("github", "ghs_" + "".join(c for c in b64(60) if c.isalnum())[:36], "clone with "), ("assigned", b64(9) + "!", "db password = "),
+        ]
+        bad = [
+            ("long", str(uuid.UUID(bytes=noise(16))), "request id "), ("long", noise(20).hex(), "merge commit "), ("long", noise(32).hex(), "sha256: "), ("assigned", "read_from_environment", "token = "), ("assigned", "<your-key-here>", "api_key="),
+            ("assigned", "CHANGEME", "password: "), ("long", "some/long/path/with/many/parts/2024", "open "), ("assigned", "PasswordResetTokenView", "token="), ("long", "very-long-article-title-about-things-12", "slug "),
+        ]
+        out += [(*good[k % len(good)][:2], "app/settings.py", good[k % len(good)][2], "\n", 1), (*bad[k % len(bad)][:2], "app/settings.py", bad[k % len(bad)][2], "\n", 0)]
+    return out
+
+
+def test_secrets_held_out():
     forest = secrets.train()
-    held = secrets.labelled_findings(300, seed=77)
+    held = other_findings(180, seed=77)
     p = forest.predict(np.array([secrets.features(*f[:5]) for f in held], float))
-    assert ((p >= secrets.ACCEPT) == np.array([f[5] for f in held])).mean() >= 0.97
+    right = (p >= secrets.ACCEPT) == np.array([f[5] for f in held])
+    assert right.mean() >= 0.9
+
+
+def test_language_counts_equal_brute_force(spark, monkeypatch):
+    import re
+
+    texts = ["Abc abc DE-fghij x", None, "", "abc\nabcd éabc 12ab", "z" * 30 + " tail", "q" * 24]
+    monkeypatch.setattr(secrets, "SUPPORT", 1)
+    got = secrets.language(spark, spark.createDataFrame([(t,) for t in texts], "text string").repartition(2))
+    runs = [w for t in texts for w in re.findall("[a-z]+", (t or "").lower())]
+    words = Counter(w for w in runs if 3 <= len(w) <= 24)
+    pairs = Counter(a + b for w in runs for a, b in zip(w, w[1:], strict=False))
+    assert got == secrets.Language.of(dict(pairs), dict(words))
+    # the dictionary covers what it knows, longest first
+    assert got.covered("abcd_abc9zz") == (7 / 11, 4)
+
+
+def test_secrets_spans(spark):
     key = "AKIA" + "Q7W3E9R1T5Y2U8P4"
     docs = spark.createDataFrame([(1, f"é {key} x", "src0", "c"), (2, "password=changeme", "docs/readme", "c"), (3, None, None, None), (4, "", None, None), (5, "word " * 40_000, "a", "b"), (5, f"{key}", "a", "b")], DOCS.replace("lang", "source"))
     got = secrets.scan(spark, docs).collect()
