@@ -116,6 +116,9 @@ def contamination(spark: SparkSession, documents: DataFrame, benchmark: DataFram
     # the exact comparison, for candidate documents alone; equal rows (same key and text) are compared once, and each
     # for the window lengths it is a candidate for
     candidates = rows.where(F.size("ns") > 0).select("row", "ns")
+    few = (candidates.agg(F.sum(F.octet_length("row") + 8 * F.size("ns") + 24)).first()[0] or 0) <= broadcast_bytes
+    # few candidates are sent to the texts; many would not fit, and texts are dealt with them by row
+    candidates = F.broadcast(candidates) if few else candidates
     closer = docs.select("row", "t").join(candidates, "row").dropDuplicates(["row"]).select("row", "ns", words(F.col("t")).alias("ws"))
     tried = closer.select("row", "ws", F.explode_outer("ns").alias("n")).select("row", "n", F.explode_outer(windows("ws", F.col("n"))).alias("x")).select("row", "n", "x.at", "x.w")
     hits = tried.join(side(bench), (F.col("w") == F.col("bw")) & (F.col("n") == F.col("len"))).select("row", "n", "at", "item")
