@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ class Field:
 
     column: Column
     type: T.DataType
+    #: Derived columns of this field, made once: text, number, lower-cased text. Making a column is a call to the JVM.
+    made: dict[str, Column] = field(default_factory=dict, repr=False)
 
     @property
     def is_array(self) -> bool:
@@ -63,9 +65,14 @@ class Resolver:
     """Names are case-sensitive. A column whose own name is the dotted path wins over a nested one."""
 
     def __init__(self, schema: T.StructType, base: Column | None = None):
-        self.schema, self.base = schema, base
+        self.schema, self.base, self.found = schema, base, {}
 
     def find(self, path: str) -> Field | None:
+        if path not in self.found:
+            self.found[path] = self._find(path)
+        return self.found[path]
+
+    def _find(self, path: str) -> Field | None:
         whole = next((x for x in self.schema.fields if x.name == path), None)
         if whole is not None:
             return Field(self._top(path), whole.dataType)
@@ -106,8 +113,22 @@ class Resolver:
         return out
 
 
+def _once(f: Field, name: str, make) -> Column:
+    if name not in f.made:
+        f.made[name] = make(f)
+    return f.made[name]
+
+
 def text(f: Field) -> Column:
     """The value as text: whole doubles without a fraction, true/false, null for anything nested."""
+    return _once(f, "text", _text)
+
+
+def lower(f: Field) -> Column:
+    return _once(f, "lower", lambda x: F.lower(text(x)))
+
+
+def _text(f: Field) -> Column:
     t, c = f.type, f.column
     if isinstance(t, T.StringType):
         return c
@@ -125,6 +146,10 @@ _NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 def number(f: Field) -> Column:
     """The value as a double; text is parsed only if all of it is a number; booleans aren't numbers."""
+    return _once(f, "number", _number_of)
+
+
+def _number_of(f: Field) -> Column:
     t, c = f.type, f.column
     if isinstance(t, T.BooleanType):
         return F.lit(None).cast("double")

@@ -6,6 +6,7 @@ cost of the output follows the matches, not events times rules. Rules are evalua
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,9 +32,9 @@ def routed(rule: Rule, resolver: Resolver) -> Column | None:
     return reduce(lambda a, b: a & b, tests) if tests else None
 
 
-def matches(rule: Rule, df: DataFrame, route: bool = False) -> Column:
+def matches(rule: Rule, df: DataFrame, route: bool = False, resolver: Resolver | None = None) -> Column:
     """Whether a rule fires; several conditions are alternatives. May be null for false: filter() on it."""
-    resolver = Resolver(df.schema)
+    resolver = resolver or Resolver(df.schema)
     fired = reduce(lambda a, b: a | b, [condition(c, rule.detections, resolver) for c in rule.conditions])
     where = routed(rule, resolver) if route else None
     return fired if where is None else where & fired
@@ -101,14 +102,17 @@ def evaluate(rules: RuleSet, df: DataFrame, route: bool = False, keep: list[str]
     if len(ready) == 1:
         return df.where(matches(ready[0], df, route)).select(*keep, *meta(ready[0]), *([selections(ready[0], df).alias("matched_selections")] if detail else []))
     # rules are numbers until they have fired: building their descriptions for each event costs more than the matching
+    shared = Resolver(df.schema)
     number = lambda k, r: F.struct(F.lit(k).alias("rule"), selections(r, df).alias("matched_selections")) if detail else F.lit(k)
     fired = []
     for k in range(0, len(ready), CHUNK):
-        fired.append(F.array_compact(F.array(*(F.when(matches(r, df, route), number(k + i, r)) for i, r in enumerate(ready[k : k + CHUNK])))))
+        fired.append(F.array_compact(F.array(*(F.when(matches(r, df, route, shared), number(k + i, r)) for i, r in enumerate(ready[k : k + CHUNK])))))
     hits = fired[0] if len(fired) == 1 else F.concat(*fired)
     # outer: explode would make the optimizer evaluate every rule a second time in an inferred filter
     found = df.select(*keep, F.explode_outer(hits).alias("__hit")).where("__hit IS NOT NULL")
     of = F.col("__hit.rule") if detail else F.col("__hit")
-    described = F.get(F.array(*(F.struct(*meta(r)) for r in ready)), of).alias("__rule")
+    # a constant, folded once
+    about = json.dumps([{"rule_key": r.key, "rule_title": r.title, "rule_id": r.id, "level": r.level, "tags": r.tags} for r in ready])
+    known = F.from_json(F.lit(about), "array<struct<rule_key:string,rule_title:string,rule_id:string,level:string,tags:array<string>>>")
     more = [F.col("__hit.matched_selections").alias("matched_selections")] if detail else []
-    return found.select(*keep, described, *more).select(*keep, "__rule.*", *(["matched_selections"] if detail else []))
+    return found.select(*keep, F.get(known, of).alias("__rule"), *more).select(*keep, "__rule.*", *(["matched_selections"] if detail else []))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skysift.functions import literals
-from skysift.functions.fields import Field, Resolver, epoch, number, text
+from skysift.functions.fields import Field, Resolver, epoch, lower, number, text
 from skysift.plans import conditions
 from skysift.plans.rules import BadRule, Detection, Item
 
@@ -71,7 +71,7 @@ def strings(value: Any, mods: list[str]) -> tuple[list[str], bool]:
 
 
 def _string_test(value: Any, mods: list[str]):
-    """A test of a text column for one value."""
+    """A test of a Field's text for one value."""
     cased = "cased" in mods
     mode = next((m for m in ("contains", "startswith", "endswith") if m in mods), None)
     variants, inside = strings(value, mods)
@@ -83,18 +83,18 @@ def _string_test(value: Any, mods: list[str]):
         if all(isinstance(p, str) for p in parts):
             plain = "".join(parts)
             needle = plain if cased else plain.lower()
-            fold = (lambda c: c) if cased else F.lower
+            fold = text if cased else lower
             return {
-                None: lambda c: fold(c) == needle,
-                "contains": lambda c: F.contains(fold(c), F.lit(needle)),
-                "startswith": lambda c: F.startswith(fold(c), F.lit(needle)),
-                "endswith": lambda c: F.endswith(fold(c), F.lit(needle)),
+                None: lambda f: fold(f) == needle,
+                "contains": lambda f: F.contains(fold(f), F.lit(needle)),
+                "startswith": lambda f: F.startswith(fold(f), F.lit(needle)),
+                "endswith": lambda f: F.endswith(fold(f), F.lit(needle)),
             }[mode]
         pattern = literals.wildcard_regex(parts, mode not in ("contains", "endswith"), mode not in ("contains", "startswith"), not cased)
-        return lambda c: c.rlike(pattern)
+        return lambda f: text(f).rlike(pattern)
 
     tests = [one(v) for v in variants]
-    return lambda c: reduce(lambda a, b: a | b, [t(c) for t in tests])
+    return lambda f: reduce(lambda a, b: a | b, [t(f) for t in tests])
 
 
 def _cidr(value: str):
@@ -174,8 +174,7 @@ def _test(value: Any, mods: list[str], resolver: Resolver):
     if isinstance(value, (int, float)) and not set(mods) & {"contains", "startswith", "endswith", "base64", "base64offset"}:
         exact = isinstance(value, int)
         return lambda f: f.column == F.lit(value) if exact and isinstance(f.type, T.IntegralType) else number(f) == F.lit(float(value))
-    of_text = _string_test(value, mods)
-    return lambda f: of_text(text(f))
+    return _string_test(value, mods)
 
 
 def _keyword(value: Any, mods: list[str], resolver: Resolver) -> Column:
@@ -185,8 +184,8 @@ def _keyword(value: Any, mods: list[str], resolver: Resolver) -> Column:
     test = _string_test(value, [*mods, "contains"] if not set(mods) & {"contains", "startswith", "endswith", "re"} else mods)
     if "re" in mods:
         pattern = _regex(value, mods)
-        test = lambda c: c.rlike(pattern)
-    leaves = [sure(_any(f, lambda x: test(text(x)))) for f in resolver.leaves()]
+        test = lambda f: text(f).rlike(pattern)
+    leaves = [sure(_any(f, test)) for f in resolver.leaves()]
     return reduce(lambda a, b: a | b, leaves, F.lit(False))
 
 
@@ -222,7 +221,7 @@ def item(it: Item, resolver: Resolver) -> Column:
         return reduce(lambda a, b: a & b, tests)
     plain = f is not None and not rest and not f.is_array and isinstance(f.type, T.StringType) and "neq" not in mods and len(it.values) > 1
     if plain and all(isinstance(v, str) and all(isinstance(p, str) for p in literals.wildcard_parts(v)) for v in it.values):
-        return F.lower(f.column).isin([("".join(literals.wildcard_parts(v))).lower() for v in it.values])
+        return lower(f).isin([("".join(literals.wildcard_parts(v))).lower() for v in it.values])
     if f is not None and rest == ["contains"] and len(it.values) >= MANY and "neq" not in mods and all(isinstance(v, str) and all(isinstance(p, str) for p in literals.wildcard_parts(v)) for v in it.values):
         needles = "|".join(literals.quote("".join(literals.wildcard_parts(v)).lower()) for v in it.values)
         return _any(f, lambda x: F.lower(text(x)).rlike(f"(?:{needles})"))

@@ -11,6 +11,7 @@ import yaml
 
 from skysift.operators.matchers import check
 from skysift.plans import conditions, rules
+from skysift.plans.rules import LOADER
 
 LEVELS = ("informational", "low", "medium", "high", "critical")
 STATUSES = ("stable", "test", "experimental", "deprecated", "unsupported")
@@ -132,7 +133,7 @@ def lint(text: str) -> list[Finding]:
     """Findings for each document of a YAML text, in document order; errors are what compiling would refuse."""
     out: list[Finding] = []
     try:
-        docs = [d for d in yaml.safe_load_all(text) if d is not None]
+        docs = [d for d in yaml.load_all(text, LOADER) if d is not None]
     except yaml.YAMLError as e:
         return [Finding("", "bad_yaml", "error", str(e).split("\n")[0])]
     seen: dict[str, str] = {}

@@ -12,6 +12,9 @@ import yaml
 
 from skysift.plans import conditions
 
+#: The safe loader, in C where it is there.
+LOADER = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
 UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800, "M": 2629746, "y": 31556952}
 TYPES = ("event_count", "value_count", "value_sum", "value_avg", "value_percentile", "value_median", "temporal", "temporal_ordered")
 PREDICATES = ("lt", "lte", "gt", "gte", "eq", "neq")
@@ -203,7 +206,7 @@ def _merge(base: dict, over: dict) -> dict:
 def load(text: str) -> RuleSet:
     """Rules from one or more YAML documents; `action: global`, `reset` and `repeat` merge documents."""
     out, shared, last = RuleSet(), {}, {}
-    for doc in yaml.safe_load_all(text):
+    for doc in yaml.load_all(text, LOADER):
         if not isinstance(doc, dict):
             continue
         doc = dict(doc)
