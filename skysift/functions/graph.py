@@ -9,8 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A node of more edges than this, and more than two in HUBS of all edges, is a hub; so there are at most HUBS hubs.
-HUB, HUBS = 1000, 5000
+#: A node of more edges than this (what one task takes with ease), and more than two in HUBS of all edges, is a hub; so
+#: there are at most HUBS hubs.
+HUB, HUBS = 50_000, 5000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,10 +67,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for step in range(1, rounds + 1):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both, 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        least = _with_least(large, now[0])
-        small = least.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        # where there may be hubs it is read more than once, and so written first
+        large = written(large, f"{step}-large")[0] if now[0] > HUB else large
+        small = _with_least(large, now[0]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         e, now = written(small.select("x.u", "x.v").where("u <> v").distinct(), str(step))
-        delete(spark, f"{folder}/{step - 1}")
+        for name in (f"{step}-large", str(step - 1)):
+            delete(spark, f"{folder}/{name}")
         if now == before:
             break
         before = now
