@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skysift.functions.graph import components, delete, shared_dir
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "Scratch", "checkpointed", "components", "free_shuffles", "prepare", "shared_dir", "table"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "Scratch", "checkpointed", "close_all", "components", "free_shuffles", "prepare", "shared_dir", "table"]
 
 #: Rows and bytes of one Arrow batch that Python code sees; they bound a worker's memory when rows are long.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
@@ -31,10 +31,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Intermediate tables in the shared folder. They outlive lost executors; keep() and close() remove them."""
+    """Intermediate tables in the shared folder. They outlive lost executors; keep(), close() and close_all() remove them."""
+
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.tables, self.names = spark, [], []
+        Scratch.made.append(self)
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -71,6 +74,8 @@ class Scratch:
         self._drop_tables()
         delete(self.spark, self.root)
         self.names = []
+        if self in Scratch.made:
+            Scratch.made.remove(self)
 
     def _drop_tables(self) -> None:
         for known in self.tables:
@@ -78,6 +83,12 @@ class Scratch:
         self.tables = []
 
 
+def close_all(but: tuple[Scratch, ...] = ()) -> None:
+    """Close every open Scratch of this process but some: for callers that have written the results they want."""
+    for x in [x for x in Scratch.made if x not in but]:
+        x.close()
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished passes before the next pass writes its own."""
     gc.collect()

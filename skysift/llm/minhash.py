@@ -271,7 +271,7 @@ def near_copies(spark: SparkSession, documents: DataFrame, percent: int = 80, sh
     of_class = named.join(least, "label", "left").select(F.col("sid").alias("csid"), F.coalesce("least", "d0").alias("component"))
     out = rows.select("k", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(of_class, F.col("sid") == F.col("csid"), "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("k"))
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("k").eqNullSafe(component).alias("kept"))
+    return scratch.keep(out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("k").eqNullSafe(component).alias("kept")))
 
 
 def keep_one(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

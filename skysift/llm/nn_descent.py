@@ -341,4 +341,4 @@ def near_vectors(spark: SparkSession, embeddings: DataFrame, least: float = 0.95
     info = info.select(F.col("id").alias("cid"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("lowest", "least").alias("c"))
     out = rows.select("k", F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("id")).join(info, F.col("id") == F.col("cid"), "left")
     component = F.when(F.col("id").isNull(), F.col("k")).otherwise(F.col("c"))
-    return out.select(F.col("k").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.col("k").eqNullSafe(component).alias("kept"))
+    return scratch.keep(out.select(F.col("k").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.col("k").eqNullSafe(component).alias("kept")))

@@ -252,8 +252,9 @@ def find(spark: SparkSession, documents: DataFrame, key: str = "doc_id", text: s
     null or repeated key are judged each on its own. An empty table gives an empty one. Texts are scanned once.
     """
     prepare(spark)
-    found = Scratch(spark, "pii").write(with_candidates(documents.select(F.col(key).alias("k"), F.col(text).alias("t"))), "spans")
-    return found.select(F.col("k").alias(key), F.col("base"), added(train(found)).alias("added"))
+    scratch = Scratch(spark, "pii")
+    found = scratch.write(with_candidates(documents.select(F.col(key).alias("k"), F.col(text).alias("t"))), "spans")
+    return scratch.keep(found.select(F.col("k").alias(key), F.col("base"), added(train(found)).alias("added")))
 
 
 def _text(spans: Column) -> Column:

@@ -43,6 +43,8 @@ COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (1, 5, 11, 24, 25, 27), 57: (0, 1,
 BLOCK, BUCKET, GROUPS, CHUNK = 8 << 20, 16 << 20, 2, 1 << 19
 #: Bytes of an anchor, of text in a suffix bucket as aimed at and as dealt again beyond, of shuffled data for one task.
 GRAM, STRETCHES, HOT, TASK = 24, 4 << 20, 24 << 20, 64 << 20
+#: Spark's own limit on the buckets of a table; a larger corpus needs spark.sql.sources.bucketing.maxBuckets raised.
+MOST_BUCKETS = 100_000
 
 
 def cover_for(length: int) -> tuple[int, np.ndarray]:
@@ -442,16 +444,16 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, length: int = 100,
     docs = documents.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     field = docs.schema["k"].dataType
     kind = to_arrow_type(field)
-    ordered = docs.repartitionByRange("k", F.left("t", F.lit(32))).sortWithinPartitions("k", "t")
+    # tasks of a bounded size whatever the input: the session's number of partitions is only the least
+    total = int(docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0)
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK))
+    ordered = docs.repartitionByRange(n_parts, "k", F.left("t", F.lit(32))).sortWithinPartitions("k", "t")
     layout = f"block long, ids array<{field.simpleString()}>, sizes array<long>, blob binary"
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = scratch.write_bucketed(ordered.mapInArrow(_blocks(kind), layout), "blocks", "block", max(8, n_parts))
+    blocks = scratch.write_bucketed(ordered.mapInArrow(_blocks(kind), layout), "blocks", "block", min(max(8, n_parts), MOST_BUCKETS))
     free_shuffles(spark)
 
-    total = int(blocks.select(F.sum(F.expr("aggregate(sizes, 0L, (s, x) -> s + x)"))).first()[0] or 0)
     bits = max(6, math.ceil(math.log2(max(total, 1) / BUCKET + 1)))
     width = min(8, math.ceil((math.log2(total + 2) + 10) / 8))
-    # tasks of a bounded size whatever the input: the session's number of partitions is only the least
     n_tasks = max(n_parts, math.ceil(1.5 * total / TASK))
     keyed = "bucket int, block long, keys binary"
     answered = "block long, bucket int, bits binary"
