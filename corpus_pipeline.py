@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skysift.llm import decontaminate, minhash, pieces, pii, toxicity
-from skysift.llm._common import Scratch, table
+from skysift.llm._common import Scratch, close_all, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +51,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents of sf_dir; what lies between the stages is in the shared folder."""
+    earlier = tuple(Scratch.made)  # others' results are none of ours
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     before = None
     for name, stage in STAGES:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        # what the stage wrote for itself has done its work, and so has its input
+        close_all(but=(*earlier, scratch))
         if before:
             scratch.remove(before)
         before = name
