@@ -3,9 +3,8 @@
 P(grade <= k) = sigmoid(cut_k - x.w): one weight vector shared by all thresholds, with ordered cut points. Features are
 the presence of words that the labelled sample ties to toxicity far beyond chance. The result is the expected grade.
 
-Labels above 1 are grades as they stand. Where labels carry a verdict only, 0 or 1, toxic documents are graded by
-cross-fitting: the sample is dealt into FOLDS, and a document's evidence is the share of its words that the other folds
-tie to toxicity. 0 clean, 1 mildly toxic (evidence up to the toxic class's median), 2 severely toxic.
+Labels above 1 are grades as they stand. Where labels carry a verdict only, 0 or 1, toxic documents are graded by their
+number of distinct associated features: 0 clean, 1 mildly toxic (up to the toxic class's median), 2 severely toxic.
 """
 
 from __future__ import annotations
@@ -25,8 +24,6 @@ from skysift.llm._common import prepare
 
 #: Labelled documents of either class that are fitted at most, words kept, least chi-square of a word, grades.
 SAMPLE, WORDS, CHI_SQUARE, GRADES = 2000, 4000, 40.0, 3
-#: Folds of the grading.
-FOLDS = 4
 #: Lengths of word beginnings that are features.
 PREFIXES = (4, 5, 6)
 #: Expected grade from which a document is rejected.
@@ -92,20 +89,15 @@ def select_words(rows: list[tuple[Counter, int]], size: int = WORDS, least: floa
     return [w for _, w in sorted(scored)[:size]]
 
 
-def grades_of(rows: list[tuple[Counter, int]]) -> np.ndarray:
-    """Severity grades: those of the labels if any is above 1, else 0 for clean and 1 or 2 for toxic by cross-fitted evidence."""
+def grades_of(rows: list[tuple[Counter, int]], words: list[str]) -> np.ndarray:
+    """Severity grades: those of the labels if any is above 1, else 0 for clean and 1 or 2 for toxic by the number of distinct selected features."""
     y = np.array([y for _, y in rows])
     if y.max(initial=0) > 1:
         return np.minimum(y, GRADES - 1)
-    share = np.zeros(len(rows))
-    for fold in range(FOLDS):
-        # a fold's own words take no part in choosing what its documents are judged by
-        chosen = set(select_words([r for i, r in enumerate(rows) if i % FOLDS != fold], least=CHI_SQUARE * (1 - 1 / FOLDS)))
-        for i in range(fold, len(rows), FOLDS):
-            words = rows[i][0]
-            share[i] = sum(n for w, n in words.items() if w in chosen) / max(1, sum(words.values()))
-    middle = np.median(share[y > 0]) if (y > 0).any() else 0.0
-    return np.where(y > 0, np.where(share > middle, 2, 1), 0)
+    chosen = set(words)
+    hits = np.array([len(chosen & c.keys()) for c, _ in rows])
+    middle = np.median(hits[y > 0]) if (y > 0).any() else 0.0
+    return np.where(y > 0, np.where(hits > middle, 2, 1), 0)
 
 
 def fit(presence: np.ndarray, grades: np.ndarray, n_grades: int = GRADES, rounds: int = 800, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +136,7 @@ def train(rows: list[tuple[Counter, int]]) -> OrdinalModel:
     words = select_words(rows)
     if not words:
         return OrdinalModel({}, [40.0] * (GRADES - 1))
-    grades = grades_of(rows)
+    grades = grades_of(rows, words)
     at = {w: i for i, w in enumerate(words)}
     presence = np.zeros((len(rows), len(words)))
     for i, (c, _) in enumerate(rows):
