@@ -2,8 +2,9 @@
 
 Hits are ordered by (ts, seq): a hit sees itself and what arrived before, never a later hit of the same second.
 Sums and counts over the trailing closed window [t - span, t] are a running total minus the running total of what has
-left, so they cost O(1) a row; so do distinct counts. Percentiles gather the window's values. Ordered sequences fold the
-window. Whatever depends on earlier firings (reset) is replayed sequentially for each group.
+left, so they cost O(1) a row; so do distinct counts. Numbers are totalled as decimals, which subtract without a rest.
+Percentiles gather the window's values. Ordered sequences fold the window. Whatever depends on earlier firings (reset) is
+replayed sequentially for each group.
 """
 
 from __future__ import annotations
@@ -143,13 +144,36 @@ def aggregated(c: Correlation, df: DataFrame, groups: list[str]) -> DataFrame:
         # same-second hits that arrive later are in the range frame but not in the window
         return F.filter(F.collect_list(F.when(x.isNotNull(), one)).over(within), lambda e: (e["ts"] < F.col("ts")) | (e["seq"] <= F.col("seq")))
 
+    def summed(df: DataFrame) -> DataFrame:
+        """Adds __s, the sum of the window's numbers: exact in decimals, so that it meets a threshold or doesn't whatever
+        came before. Numbers no decimal(27,18) holds (huge, tiny, infinite, NaN) are added as doubles and never taken
+        off again: time is cut into blocks of span + 1, and a window is the end of one block and the start of the next."""
+        exact = F.col("number").try_cast("decimal(27,18)")
+        df = df.withColumn("__x", F.when(exact.cast("double") == F.col("number"), exact))
+        df = df.withColumn("__s", total(F.sum("__x")).cast("double")).withColumn("__w", F.when(F.col("__x").isNull(), F.col("number")))
+        if not sliding:
+            return df.withColumn("__s", F.col("__s") + total(F.sum("__w"))).drop("__x", "__w")
+        size = c.timespan + 1
+        block = [*part, F.col("__b")]
+        df = df.withColumn("__b", F.col("ts") - F.pmod(F.col("ts"), F.lit(size)))
+        df = df.withColumn("__now", F.sum("__w").over(Window.partitionBy(*block).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)))
+        df = df.withColumn("__all", F.sum("__w").over(Window.partitionBy(*block)))
+        df = df.withColumn("__later", F.sum("__w").over(Window.partitionBy(*block).orderBy(F.desc("ts")).rangeBetween(Window.unboundedPreceding, -1)))
+        # of the block before: what is later than the last hit to have left, or all of it
+        df = df.withColumn("__gone", F.last(F.struct("__b", "__later")).over(left))
+        df = df.withColumn("__past", F.last(F.struct("__b", "__all")).over(Window.partitionBy(*part).orderBy("__b").rangeBetween(Window.unboundedPreceding, -size)))
+        before = F.col("__b") - size
+        kept = F.when(F.col("__gone.__b") == before, F.col("__gone.__later")).when(F.col("__past.__b") == before, F.col("__past.__all"))
+        df = df.withColumn("__s", F.col("__s") + (F.coalesce(kept, F.lit(0.0)) + F.coalesce("__now", F.lit(0.0))))
+        return df.drop("__x", "__w", "__b", "__now", "__all", "__later", "__gone", "__past")
+
     finite = F.when(~F.isnan("number") & (F.abs("number") < float("inf")), F.col("number"))
     if c.type == "event_count":
         value = total(F.count(F.lit(1))).cast("double")
     elif c.type == "value_sum":
-        value = total(F.sum("number"))
+        df, value = summed(df), F.col("__s")
     elif c.type == "value_avg":
-        df = df.withColumn("__s", total(F.sum("number"))).withColumn("__n", total(F.count("number")))
+        df = summed(df.withColumn("__n", total(F.count("number"))))
         value = F.when(F.col("__n") > 0, F.col("__s") / F.col("__n")).otherwise(0.0)
     elif c.type == "value_count":
         # a value counts from a hit with no earlier one in reach until it has left unreplaced: O(1) a row, nothing gathered

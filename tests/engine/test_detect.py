@@ -117,3 +117,24 @@ def test_plan_is_one_scan_and_pushes_plain_leaves(spark, tmp_path):
     rs = rules.load(json.dumps({"title": "r", "detection": {"s": {"n|gt": 5, "name|cased": "x"}, "condition": "s"}}))
     plan = detect.evaluate(rs, spark.read.parquet(path), keep=["id"])._jdf.queryExecution().toString()
     assert "EqualTo(name,x)" in plan and plan.count("FileScan") <= 2 and "xs" not in plan.split("ReadSchema")[-1]
+
+
+def _fired(spark, kind: str, condition: dict, rows: list[tuple], span: str = "20s"):
+    """(engine's, sequential definition's) firings of one correlation over hits (id, t, k, kind, v)."""
+    body = {"type": kind, "rules": ["a"], "group-by": ["k"], "timespan": span, "condition": {"field": "v", **condition}}
+    docs = [{"title": "a", "id": "a", "detection": {"s": {"kind": "a"}, "condition": "s"}}, {"title": "c", "id": "c", "correlation": body}]
+    rs = rules.load("\n---\n".join(map(json.dumps, docs)))
+    got = sorted((r["__seq"], r["value"]) for r in correlate.correlate(rs, spark.createDataFrame(rows, HITS), "t", "id")["c"].collect())
+    states, want = {}, []
+    for i, t, k, _, v in rows:
+        value = replay.step(rs.correlations[0], states.setdefault(k, replay.State()), t, "a", v, None)
+        if value is not None:
+            want.append((i, value))
+    return got, want
+
+
+def test_averages_meet_their_threshold_exactly_whatever_came_before(spark):
+    # taken off a running total, the 17.13s left 30.000000000000004 behind
+    rows = [(0, 0, "k", "a", 17.13), (1, 1, "k", "a", 17.13), (2, 100, "k", "a", 29.99), (3, 100, "k", "a", 30.01), (4, 101, "k", "a", 30.0)]
+    assert _fired(spark, "value_avg", {"gte": 30}, rows)[0] == [(3, 30.0), (4, 30.0)]
+    assert _fired(spark, "value_avg", {"gt": 30}, rows)[0] == []
