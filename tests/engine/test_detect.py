@@ -138,3 +138,14 @@ def test_averages_meet_their_threshold_exactly_whatever_came_before(spark):
     rows = [(0, 0, "k", "a", 17.13), (1, 1, "k", "a", 17.13), (2, 100, "k", "a", 29.99), (3, 100, "k", "a", 30.01), (4, 101, "k", "a", 30.0)]
     assert _fired(spark, "value_avg", {"gte": 30}, rows)[0] == [(3, 30.0), (4, 30.0)]
     assert _fired(spark, "value_avg", {"gt": 30}, rows)[0] == []
+
+
+def test_sums_forget_what_has_left_the_window(spark):
+    inf = float("inf")
+    rows = [(0, 0, "k", "a", 1e16), (1, 1, "k", "a", inf), (2, 2, "k", "a", 1e-30), (3, 22, "k", "a", 1e300), (4, 23, "k", "a", 1.0), (5, 45, "k", "a", 1.0), (6, 46, "k", "a", 2.0), (7, 200, "k", "a", 3e-25)]
+    got, want = _fired(spark, "value_sum", {"gt": 0}, rows)
+    assert got == want == [(0, 1e16), (1, inf), (2, inf), (3, 1e300), (4, 1e300), (5, 1.0), (6, 3.0), (7, 3e-25)]
+    r = random.Random(5)
+    rows = [(i, t, r.choice("xy"), "a", r.choice([0.01, 33.33, 1e-25, -2e-22, 7e18, None])) for i, t in enumerate(sorted(r.randrange(300) for _ in range(200)))]
+    got, want = _fired(spark, "value_sum", {"neq": 12345}, rows)
+    assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) <= 1e-12 * max(abs(w[1]), 1e-22) or abs(w[1]) > 1e18 and abs(g[1] - w[1]) < 1e5 for g, w in zip(got, want, strict=True))
