@@ -28,6 +28,27 @@ class State:
         return asdict(self)
 
 
+def between(low: Any, high: Any, part: Any) -> tuple[Any, Any]:
+    """low * (1 - part) + high * part, and what rounding the first product and the sum took from it (NaN for huge values).
+
+    Numbers or columns. Together they are what a fused multiply-add gives; 29.99 and 30.01 have 30.0 between them, where
+    low + (high - low) * part may give the double after it.
+    """
+    weight = 1.0 - part
+    product, second = low * weight, high * part
+    plain = product + second
+    halves = []
+    for x in (low, weight):
+        big = x * 134217729.0
+        top = big - (big - x)
+        halves.append((top, x - top))
+    (a, b), (c, d) = halves
+    of_product = ((a * c - product) + a * d + b * c) + b * d
+    back = plain - product
+    of_sum = (product - (plain - back)) + (second - back)
+    return plain, of_sum + of_product
+
+
 def percentile(values: list[float], p: float) -> float | None:
     """Linear interpolation at rank p / 100 * (n - 1)."""
     v = sorted(x for x in values if math.isfinite(x))
@@ -36,7 +57,8 @@ def percentile(values: list[float], p: float) -> float | None:
     rank = p / 100 * (len(v) - 1)
     low = math.floor(rank)
     high = min(low + 1, len(v) - 1)
-    return v[low] + (v[high] - v[low]) * (rank - low)
+    plain, rest = between(v[low], v[high], rank - low)
+    return plain if math.isnan(rest) else plain + rest
 
 
 def ordered(entries: list[list[Any]], refs: list[str]) -> bool:

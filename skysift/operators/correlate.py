@@ -184,10 +184,15 @@ def aggregated(c: Correlation, df: DataFrame, groups: list[str]) -> DataFrame:
         df = df.withColumn("__n", F.when(here & far(F.lead("ts").over(same) - F.col("ts")), 1).otherwise(0))
         value = (F.sum("__s").over(running) - (F.coalesce(F.sum("__n").over(left), F.lit(0)) if sliding else F.lit(0))).cast("double")
     elif c.type in ("value_percentile", "value_median"):
-        df = df.withColumn("__v", F.array_sort(F.transform(gathered(finite), lambda e: e["x"])))
-        rank = F.lit((c.percentile if c.type == "value_percentile" else 50.0) / 100) * (F.size("__v") - 1)
-        low, high = F.floor(rank).cast("int"), F.ceil(rank).cast("int")
-        value = F.when(F.size("__v") > 0, F.get("__v", low) + (F.get("__v", high) - F.get("__v", low)) * (rank - F.floor(rank)))
+        # bound by a lambda, a value is computed once; as a column it is inlined wherever it is mentioned
+        once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+
+        def at_rank(v: Column) -> Column:
+            rank = F.lit((c.percentile if c.type == "value_percentile" else 50.0) / 100) * (F.size(v) - 1)
+            ends = F.struct(F.get(v, F.floor(rank).cast("int")).alias("low"), F.get(v, F.ceil(rank).cast("int")).alias("high"), (rank - F.floor(rank)).alias("part"))
+            return once(ends, lambda e: reduce(lambda plain, rest: plain + F.nanvl(rest, F.lit(0.0)), replay.between(e["low"], e["high"], e["part"])))
+
+        value = once(F.sort_array(F.transform(gathered(finite), lambda e: e["x"])), lambda v: F.when(F.size(v) > 0, at_rank(v)))
     elif c.type == "temporal":
         last = [F.max(F.when(F.col("ref") == r, F.col("ts"))).over(running) for r in c.rules]
         for i, x in enumerate(last):
@@ -203,7 +208,7 @@ def aggregated(c: Correlation, df: DataFrame, groups: list[str]) -> DataFrame:
         events = F.array_sort(F.transform(gathered(stage.cast("int")), lambda e: F.struct(e["ts"].alias("ts"), e["x"].alias("x"))))
         reached = F.aggregate(events, F.lit(0), lambda p, e: F.when(e["x"] == p, p + 1).otherwise(p))
         value = F.when(reached == len(c.rules), float(len(c.rules))).otherwise(0.0)
-    return df.withColumn("value", value).drop("__s", "__n", "__v", *(f"__f{i}" for i in range(len(c.rules))))
+    return df.withColumn("value", value).drop("__s", "__n", *(f"__f{i}" for i in range(len(c.rules))))
 
 
 def _suppressed(c: Correlation, fired: DataFrame, groups: list[str]) -> DataFrame:

@@ -149,3 +149,15 @@ def test_sums_forget_what_has_left_the_window(spark):
     rows = [(i, t, r.choice("xy"), "a", r.choice([0.01, 33.33, 1e-25, -2e-22, 7e18, None])) for i, t in enumerate(sorted(r.randrange(300) for _ in range(200)))]
     got, want = _fired(spark, "value_sum", {"neq": 12345}, rows)
     assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) <= 1e-12 * max(abs(w[1]), 1e-22) or abs(w[1]) > 1e18 and abs(g[1] - w[1]) < 1e5 for g, w in zip(got, want, strict=True))
+
+
+def test_medians_meet_their_threshold_exactly(spark):
+    # low + (high - low) / 2 gives 30.000000000000004 for some of these pairs
+    pairs = [(i, round(30 - i / 100, 2), round(30 + i / 100, 2)) for i in range(1, 300)]
+    rows = [(2 * i + j, 1000 * i + j, "k", "a", v) for i, *vs in pairs for j, v in enumerate(vs)]
+    assert _fired(spark, "value_median", {"gt": 30}, rows) == ([], [])
+    got, want = _fired(spark, "value_median", {"gte": 30}, rows)
+    assert got == want == [(2 * i + 1, 30.0) for i, *_ in pairs]
+    huge = [(0, 0, "k", "a", -1.7e308), (1, 1, "k", "a", 1.7e308), (2, 2, "k", "a", float("nan")), (3, 100, "k", "a", None)]
+    got, want = _fired(spark, "value_median", {"lte": 0}, huge)
+    assert got == want == [(0, -1.7e308), (1, 0.0), (2, 0.0)]
