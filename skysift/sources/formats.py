@@ -8,13 +8,22 @@ from pyspark.sql import functions as F
 _3164 = r"^<(\d{1,3})>([A-Z][a-z]{2}\s+\d{1,2} \d{2}:\d{2}:\d{2}) (\S+) ([^\s:\[]+)(?:\[(\w+)\])?: ?([\s\S]*)$"
 _5424 = r'^<(\d{1,3})>1 (\S+) (\S+) (\S+) (\S+) (\S+) (-|(?:\[(?:[^\]\\"]|\\.|"(?:[^"\\]|\\.)*+")*+\])+) ?([\s\S]*)$'
 _LOGFMT = r'([^\s="]+)(=)?(?:(?<==)(?:"((?:[^"\\]|\\.)*+)"|([^\s"]*)))?'
-_CEF = r"CEF:(\d+)\|((?:\\.|[^|\\])*)\|((?:\\.|[^|\\])*)\|((?:\\.|[^|\\])*)\|((?:\\.|[^|\\])*)\|((?:\\.|[^|\\])*)\|((?:\\.|[^|\\])*)\|([\s\S]*)$"
+_CEF = r"CEF:(\d+)" + r"\|([^|\\]*+(?:\\.[^|\\]*+)*+)" * 6 + r"\|([\s\S]*)$"
 
 
 def _nil(c: Column) -> Column:
     return F.when((c != "-") & (c != ""), c)
 
 
+def _once(x: Column, f) -> Column:
+    """f(x), with x computed once: a lambda binds it, whereas a column is inlined wherever it is mentioned."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _groups(raw: Column, pattern: str, n: int) -> Column:
+    return F.struct(*(F.regexp_extract(raw, pattern, i).alias(f"g{i}") for i in range(1, n + 1)))
+
+
 def _last_wins(keys: Column, values: Column) -> Column:
     """A map of two arrays in which keys may repeat; the last value of a key counts."""
     distinct = F.array_distinct(keys)
@@ -37,8 +46,14 @@ def syslog(df: DataFrame, line: str = "value", offset: str = "+00:00", now: Colu
     syslog_facility and syslog_severity. Null where the line is neither.
     """
     raw = F.regexp_replace(F.col(line), "^\ufeff", "")
-    new, old = raw.rlike(_5424), raw.rlike(_3164)
-    g = lambda p, i: F.regexp_extract(raw, p, i)
+    now = F.current_timestamp() if now is None else now
+    groups = lambda r: F.struct(r.alias("raw"), F.when(r.rlike(_5424), _groups(r, _5424, 8)).alias("new"), F.when(~r.rlike(_5424) & r.rlike(_3164), _groups(r, _3164, 6)).alias("old"))
+    return df.withColumn("syslog", _once(_once(raw, groups), lambda m: _syslog(m, offset, now)))
+
+
+def _syslog(m: Column, offset: str, now: Column) -> Column:
+    raw, new, old = m["raw"], m["new"].isNotNull(), m["old"].isNotNull()
+    g = lambda p, i: m["new" if p == _5424 else "old"][f"g{i}"]
     pri = F.when(new, g(_5424, 1)).when(old, g(_3164, 1)).try_cast("int")
     sd_raw = F.when(new, g(_5424, 7))
     elements = F.regexp_extract_all(sd_raw, F.lit(r'\[((?:[^\]\\"]|\\.|"(?:[^"\\]|\\.)*+")*+)\]'), F.lit(1))
@@ -51,9 +66,9 @@ def syslog(df: DataFrame, line: str = "value", offset: str = "+00:00", now: Colu
     def values(e: Column) -> Column:
         return F.transform(F.regexp_extract_all(e, F.lit(pattern), F.lit(2)), lambda v: F.regexp_replace(v, r'\\(["\\\]])', "$1"))
 
-    sd = _last_wins(F.flatten(F.transform(elements, names)), F.flatten(F.transform(elements, values)))
+    pairs = _once(elements, lambda e: F.struct(F.flatten(F.transform(e, names)).alias("names"), F.flatten(F.transform(e, values)).alias("values")))
+    sd = _once(pairs, lambda p: _last_wins(p["names"], p["values"]))
     message = F.when(new, g(_5424, 8)).when(old, g(_3164, 6))
-    now = F.current_timestamp() if now is None else now
     stamp = F.when(new, _nil(g(_5424, 2))).otherwise(g(_3164, 2))
     # a leap day has no date in other years, so the year comes before parsing
     dated = lambda y: F.try_to_timestamp(F.concat(y.cast("string"), F.lit(" "), F.regexp_replace(g(_3164, 2), r"\s+", " "), F.lit(f" {offset}")), F.lit("yyyy MMM d HH:mm:ss xxx"))
@@ -68,7 +83,7 @@ def syslog(df: DataFrame, line: str = "value", offset: str = "+00:00", now: Colu
     body = F.substring(F.ltrim(message), 2, F.length(message))
     merged = F.when(body.rlike(r"^\s*\}\s*$"), head).otherwise(F.concat(F.left(head, F.length(head) - 1), F.lit(","), body))
     event = F.when(F.ltrim(message).startswith("{"), F.try_parse_json(merged))
-    return df.withColumn("syslog", F.when((new | old) & (pri <= 191), F.struct(*(c.alias(n) for n, c in fields.items()), event.alias("event"), raw.alias("_raw"))))
+    return F.when((new | old) & (pri <= 191), F.struct(*(c.alias(n) for n, c in fields.items()), event.alias("event"), raw.alias("_raw")))
 
 
 def logfmt(df: DataFrame, line: str = "value") -> DataFrame:
@@ -88,14 +103,18 @@ def logfmt(df: DataFrame, line: str = "value") -> DataFrame:
 def cef(df: DataFrame, line: str = "value") -> DataFrame:
     """CEF, also inside a syslog line -> struct `cef`(version, vendor, product, device_version, signature, name, severity, extensions map)."""
     raw = F.col(line)
-    head = lambda i: F.regexp_replace(F.regexp_extract(raw, _CEF, i), r"\\([|\\])", "$1")
-    ext = F.regexp_extract(raw, _CEF, 8)
     # a value runs up to the next ` key=`
     pattern = r"(?:^|\s)([A-Za-z0-9_.\[\]-]+)=((?:\\.|[^\\=])*?)(?=\s+[A-Za-z0-9_.\[\]-]+=|\s*$)"
-    keys = F.regexp_extract_all(ext, F.lit(pattern), F.lit(1))
-    values = F.transform(F.regexp_extract_all(ext, F.lit(pattern), F.lit(2)), lambda v: F.regexp_replace(F.regexp_replace(v, r"\\n", "\n"), r"\\([=\\])", "$1"))
-    fields = F.struct(F.regexp_extract(raw, _CEF, 1).try_cast("int").alias("version"), head(2).alias("vendor"), head(3).alias("product"), head(4).alias("device_version"), head(5).alias("signature"), head(6).alias("name"), head(7).alias("severity"), _last_wins(keys, values).alias("extensions"))
-    return df.withColumn("cef", F.when(raw.rlike(_CEF), fields))
+
+    def fields(g: Column) -> Column:
+        head = lambda i: F.regexp_replace(g[f"g{i}"], r"\\([|\\])", "$1")
+        keys = F.regexp_extract_all(g["g8"], F.lit(pattern), F.lit(1))
+        values = F.transform(F.regexp_extract_all(g["g8"], F.lit(pattern), F.lit(2)), lambda v: F.regexp_replace(F.regexp_replace(v, r"\\n", "\n"), r"\\([=\\])", "$1"))
+        extensions = _once(F.struct(keys.alias("names"), values.alias("values")), lambda p: _last_wins(p["names"], p["values"]))
+        named = zip(("vendor", "product", "device_version", "signature", "name", "severity"), range(2, 8), strict=True)
+        return F.when(g.isNotNull(), F.struct(g["g1"].try_cast("int").alias("version"), *(head(i).alias(n) for n, i in named), extensions.alias("extensions")))
+
+    return df.withColumn("cef", _once(F.when(raw.rlike(_CEF), _groups(raw, _CEF, 8)), fields))
 
 
 def kind(line: Column) -> Column:

@@ -89,3 +89,21 @@ def test_pattern_paths(spark):
     assert ids("[email:hashes.'SHA-256' = 'x.y']") == [1] and ids("[email:parts[1].body = 'yo']") == [1] and ids("[email:parts[*].body LIKE 'h%']") == [1]
     assert ids("[email:from_ref.value = 'me@x']") == [1] and ids("[email:to_refs[*].value = 'they@x']") == [1] and ids("[email:to_refs[0].value = 'they@x']") == []
     assert ids("[EXISTS email:from_ref.value]") == [1] and ids("[email:from_ref.value = 'me@x' AND email:to_refs[1].value = 'they@x']") == [1]
+
+
+def _nodes(df, name: str) -> int:
+    """How often an expression stands in the optimised plan, and so may run for each line."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(name)
+
+
+def test_syslog_lines_are_matched_once(spark):
+    df = formats.syslog(spark.createDataFrame([("<34>1 - h a p m [x a=\"1\"] text",)], "value string")).select("syslog.*")
+    assert _nodes(df, "regexp_extract(") <= 16
+    assert df.first().sd == {"x.a": "1"}
+
+
+def test_cef_lines_are_matched_once_and_fields_may_be_long(spark):
+    long = "\\|v" * 20_000
+    df = formats.cef(spark.createDataFrame([(f"CEF:0|{long}|b|c|d|e|f|x=1 y=2",)], "value string")).select("cef.*")
+    assert _nodes(df, "regexp_extract(") <= 8
+    assert df.first().vendor == "|v" * 20_000 and df.first().extensions == {"x": "1", "y": "2"}
