@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import json
 import random
 
@@ -151,6 +152,14 @@ def test_sums_forget_what_has_left_the_window(spark):
     assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) <= 1e-12 * max(abs(w[1]), 1e-22) or abs(w[1]) > 1e18 and abs(g[1] - w[1]) < 1e5 for g, w in zip(got, want, strict=True))
 
 
+def test_sums_meet_their_threshold_exactly_in_any_order(spark):
+    # as doubles, six times 0.24 and twice 49.28 add up to 99.99999999999997 to 100.00000000000001, by their order
+    orders = list(itertools.combinations(range(8), 2))
+    rows = [(8 * n + i, 1000 * n + i, "k", "a", 49.28 if i in large else 0.24) for n, large in enumerate(orders) for i in range(8)]
+    assert _fired(spark, "value_sum", {"gt": 100}, rows)[0] == []
+    assert _fired(spark, "value_sum", {"gte": 100}, rows)[0] == [(8 * n + 7, 100.0) for n in range(len(orders))]
+
+
 def test_medians_meet_their_threshold_exactly(spark):
     # low + (high - low) / 2 gives 30.000000000000004 for some of these pairs
     pairs = [(i, round(30 - i / 100, 2), round(30 + i / 100, 2)) for i in range(1, 300)]
