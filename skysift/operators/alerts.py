@@ -176,15 +176,26 @@ def entity_incidents(alerts: DataFrame, alert_id: str, entities: list[str], stop
     """Alerts that share an entity value, directly or through others: rows (alert_id, incident), incident = smallest alert id.
 
     Stop values link nothing; nor do values of more than `ceiling` alerts. Links are stars, from a value's smallest alert.
-    Chains of any length are followed; raises if the components don't settle.
+    Chains of any length are followed; raises if the components don't settle. Alerts of the same values are one node, their
+    smallest: there are as many nodes and links as different sets of values, and the alerts themselves are joined once.
     """
-    values = F.array_distinct(F.array(*(F.col(e).cast("string") for e in entities)))
-    pairs = alerts.select(F.col(alert_id).alias("a"), F.explode_outer(values).alias("v")).where(F.col("v").isNotNull() & ~F.col("v").isin(list(stop) or [""]))
-    stars = pairs.groupBy("v").agg(F.min("a").alias("b"), F.count("*").alias("n"))
+    ident = F.col(alert_id)
+    values = F.filter(F.array_distinct(F.array(*(F.col(e).cast("string") for e in entities))), lambda v: v.isNotNull() & ~v.isin(list(stop) or [""]))
+    rows = alerts.select(alert_id, F.when(ident.isNotNull(), F.sort_array(values)).alias("values"))
+    repeated = not rows.where(ident.isNotNull()).groupBy(alert_id).count().where("count > 1").isEmpty()
+    if repeated:  # an alert of several rows has the values of them all
+        rows = rows.groupBy(alert_id).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("values")))).alias("values"))
+    kinds = rows.where(F.size("values") > 0).groupBy("values").agg(F.min(alert_id).alias("a"), F.count("*").alias("n"))
+    pairs = kinds.select("a", "n", F.explode("values").alias("v"))
+    stars = pairs.groupBy("v").agg(F.min("a").alias("b"), F.sum("n").alias("n"))
     stars = stars.where(F.col("n") <= ceiling) if ceiling else stars
-    edges = pairs.join(stars, "v").select("a", "b").distinct()
+    edges = pairs.drop("n").join(stars.drop("n"), "v").select("a", "b").distinct()
     label = components(edges).toDF("a", "label")
-    return alerts.select(F.col(alert_id)).join(label, F.col(alert_id) == F.col("a"), "left").select(alert_id, F.coalesce("label", F.col(alert_id)).alias("incident"))
+    if ceiling:  # alerts whose values are all above it are alone, whatever they have in common
+        kinds = kinds.join(edges.select("a").distinct(), "a", "left_semi")
+    kinds = kinds.join(label, "a", "left").select("values", F.coalesce("label", "a").alias("incident"))
+    named = rows.join(kinds, "values", "left").select(alert_id, F.coalesce("incident", alert_id).alias("incident"))
+    return alerts.select(alert_id).join(named, alert_id, "left") if repeated else named
 
 
 def dispositions(records: DataFrame, now: int, window: int, benign_counts: bool = False, least: int = 5) -> DataFrame:
