@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
+import weakref
 
 import pytest
 
@@ -193,6 +195,55 @@ def test_pieces(spark, docs):
     assert {(r.doc_id, r.decoded_text) for r in both} == {(d[0], library.decode(library.encode(d[1] or ""))) for d in data}
 
 
+def test_pieces_encode_a_word_once_for_all_its_neighbours(monkeypatch):
+    """The cost of a text is that of its new words: not again after other marks, nor in the process's next task of the query."""
+    path = P.path("piece_bpe_32k.model")
+    made = []
+    encode = pieces.Pieces.ids_of
+    monkeypatch.setattr(pieces.Pieces, "ids_of", lambda self, chunk: made.append(chunk) or encode(self, chunk))
+    for task in range(2):
+        with pieces.worker(path, "query") as worker:
+            for mark in (",", ".", "%%%", '"', "²."):
+                worker.digest(f"a zqunretiouly{mark} zqunretiouly")
+        assert made.count("▁zqunretiouly") == (not task)
+        made.clear()
+
+
+def test_pieces_of_an_idle_process_are_dropped(monkeypatch):
+    """Caches that stay in Spark's idle Python processes took a later stage of the pipeline over an executor's memory."""
+    monkeypatch.setattr(pieces, "IDLE", 0.1)
+    with pieces.worker(P.path("piece_bpe_32k.model"), "idle") as worker:
+        worker.digest("a b")
+    held = weakref.ref(worker)
+    del worker
+    end = time.monotonic() + 10
+    while held() is not None and time.monotonic() < end:
+        time.sleep(0.05)
+    assert held() is None
+
+
+def test_pieces_cut_only_where_no_piece_reaches():
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    model, worker = pieces.Pieces(path), pieces.Worker(path)
+    assert model.chunks("ab, c²._d") == [" ab", ",", " c", "²._", "d"]
+    assert all(len(model.cut.findall(p)) == 1 for p in model.id)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(5)
+    chars, some = sorted({c for p in model.id for c in p}), sorted(model.id)
+    for n in range(2000):
+        t = "".join(r.choice((r.choice(chars), r.choice(some).replace("▁", " "), r.choice([" ", "▁", "²", ".", "\n", "\x00", "😀", "x̄", "1"]))) for _ in range(r.randrange(1, 30)))
+        ids = library.encode(t, add_eos=True)
+        sha = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), library.decode(ids))]
+        assert worker.digest(t) == (len(ids), *sha) and worker.encode(t) == ids[:-1], t
+    # letters that some piece joins to a mark are no words; those that meet them aren't either
+    model.id = {p: i for i, p in enumerate(["a", "b", "c", ".", "▁", "a.", "ab", "▁c"])}
+    assert model.cutter(set("abc.▁")).findall(" ab.c c.b\n") == [" ab.", "c", " c", ".b", "\n"]
+    model.id["bc"] = 8
+    assert model.cutter(set("abc.▁")).findall(" ab.c c.b\n ") == [" ab.c", " c.b", "\n", " "]
+
+
 def test_personal_data(spark):
     odd = [
         "mail a.b@c.d and x@y..z @q.r a@b.c.d@e.f", "1.2.3.4 999.1.1.1 1.2.3.4.5.6.7.8 007.0.0.300", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (555) 123-4567 +12 +49.30.1234567 ext",
